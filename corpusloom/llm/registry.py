@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import table
-from corpusloom.llm import sharding
+from corpusloom.llm import ogg, sentencepiece_codec, sharding
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)[0]
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded with an end id, and decoded again."""
+    import public_tokenizers
+
+    return sentencepiece_codec.digest(sentencepiece_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as an Ogg file and read back."""
+    return ogg.digest(ogg.documents_as_media(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op5_sharding": op5_sharding,
+    "op6_ogg": op6_ogg,
 }
 ORACLE_SQL: dict[str, str] = {}
