@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import table
-from corpusloom.llm import ogg, sentencepiece_codec, sharding
+from corpusloom.llm import html_extraction, ogg, sentencepiece_codec, sharding
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,15 @@ def op6_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digest(ogg.documents_as_media(table(spark, sf_dir, "documents")))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_sharding": op5_sharding,
     "op6_ogg": op6_ogg,
+    "op7_html": op7_html,
 }
 ORACLE_SQL: dict[str, str] = {}
