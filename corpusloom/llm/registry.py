@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import table
-from corpusloom.llm import html_extraction, ogg, sentencepiece_codec, sharding
+from corpusloom.llm import html_extraction, lm_scoring, ogg, sentencepiece_codec, sharding
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +32,16 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by n-grams of the training documents."""
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op5_sharding": op5_sharding,
     "op6_ogg": op6_ogg,
     "op7_html": op7_html,
+    "op9_lm_scoring": op9_lm_scoring,
 }
 ORACLE_SQL: dict[str, str] = {}
