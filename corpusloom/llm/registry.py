@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import table
-from corpusloom.llm import html_extraction, lm_scoring, ogg, sentencepiece_codec, sharding
+from corpusloom.llm import html_extraction, lm_scoring, ngram_join, ogg, sentencepiece_codec, sharding
+
+
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and the least doc_id it is linked with."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +44,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_ngram_join": op3_ngram_join,
     "op5_sharding": op5_sharding,
     "op6_ogg": op6_ogg,
     "op7_html": op7_html,
