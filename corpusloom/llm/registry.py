@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm.common import table
-from corpusloom.llm import ann, html_extraction, lm_scoring, mixing, ngram_join, ogg, sentencepiece_codec, sharding, toxicity
+from corpusloom.llm import ann, html_extraction, lm_scoring, mixing, ngram_join, ogg, sentencepiece_codec, sharding, suffix_dedup, toxicity
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=24)[0]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of passages that also start elsewhere."""
+    return suffix_dedup.spans(table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded with an end id, and decoded again."""
     import public_tokenizers
@@ -59,6 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_ngram_join": op3_ngram_join,
     "op4_toxicity": op4_toxicity,
