@@ -43,12 +43,12 @@ def topic(text: Column) -> Column:
     )
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic, tokens and a uniform number in [0, 1) drawn from id and text."""
+def described(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """doc_id (or what is given to be carried along), source, lang, topic, tokens and a uniform number in [0, 1) drawn from id and text."""
     text = whole_text()
     draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), text, F.lit("mixing")), 11).cast("double") / float(1 << 53)
     return docs.select(
-        "doc_id", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic(text).alias("topic"),
+        (F.col("doc_id") if carry is None else carry).alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("lang", F.lit("")).alias("lang"), topic(text).alias("topic"),
         F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("tokens"), draw.alias("draw"),
     )
 
@@ -114,10 +114,10 @@ def _calibrated_table(raked: DataFrame, keep: float) -> DataFrame:
     return out.select(*AXES, "weight", F.least(F.lit(1.0), F.col("rate") * factor).alias("probability"))
 
 
-def mix(docs: DataFrame, flatten: float = FLATTEN, keep: float = KEEP, max_cells: int = MAX_CELLS) -> DataFrame:
+def mix(docs: DataFrame, flatten: float = FLATTEN, keep: float = KEEP, max_cells: int = MAX_CELLS, carry: Column | None = None) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight (of the cell), probability, draw, sampled for each document."""
     spark = docs.sparkSession
-    rows = described(docs)
+    rows = described(docs, carry)
     cells = stored(rows.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mixing-cells")
     schema = "source string, lang string, topic string, weight double, probability double"
     if cells.count() <= max_cells:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from corpusloom.llm.common import table
 from corpusloom.llm import ann, html_extraction, lm_scoring, mixing, ngram_join, ogg, sentencepiece_codec, sharding, suffix_dedup, toxicity
 
@@ -28,7 +29,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of passages that also start elsewhere."""
-    return suffix_dedup.spans(table(spark, sf_dir, "documents")).drop("starts", "ends")
+    return suffix_dedup.spans(table(spark, sf_dir, "documents")).drop("starts", "ends", "kept_text")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -74,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ann": op8_ann,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_mixing": op10_mixing,
+    "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

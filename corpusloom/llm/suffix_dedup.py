@@ -43,7 +43,7 @@ WIDTH, ORDER = 400, 11
 #: UTF-8 bytes after which a chunk of documents is closed, and bytes looked at together.
 CHUNK_BYTES, PIECE = 12_000_000, 1 << 20
 NAMES, LONG, MARKED, SUFFIXES = 0, 1, 2, 3
-SCHEMA = "doc_id {id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
+SCHEMA = "doc_id {id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, kept_text string"
 
 
 def difference_cover(q: int) -> tuple[int, list[int]]:
@@ -193,24 +193,33 @@ def _opened(body: bytes, cover: tuple[int, list[int]], width: int) -> tuple[list
     return ids, t, at
 
 
-def _row(doc_id, data: bytes | np.ndarray, gone: np.ndarray | None) -> tuple:
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Of the bytes that go, those of characters all of whose bytes go."""
+    first = (data & 0xC0) != 0x80
+    character = np.cumsum(first) - 1
+    return (np.bincount(character, weights=~gone) == 0)[character] if len(data) else gone
+
+
+def _row(doc_id, data: np.ndarray, gone: np.ndarray | None, texts: bool) -> tuple:
     """Result of one document; gone: whether each byte goes."""
     if gone is None or not gone.any():
-        return doc_id, len(data), 0, 0, hashlib.sha256(data).hexdigest(), [], []
+        return doc_id, len(data), 0, 0, hashlib.sha256(data).hexdigest(), [], [], data.tobytes().decode("utf-8") if texts else None
     edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return doc_id, len(data), int(gone.sum()), len(starts), hashlib.sha256(data[~gone].tobytes()).hexdigest(), starts.tolist(), ends.tolist()
+    text = data[~whole_characters(data, gone)].tobytes().decode("utf-8") if texts else None
+    return doc_id, len(data), int(gone.sum()), len(starts), hashlib.sha256(data[~gone].tobytes()).hexdigest(), starts.tolist(), ends.tolist(), text
 
 
-def spans(docs: DataFrame, width: int = WIDTH, order: int = ORDER) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed runs as starts and ends, for each document."""
+def spans(docs: DataFrame, width: int = WIDTH, order: int = ORDER, texts: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed runs as starts and ends, for each document. With
+    texts, kept_text as well: what is left when only whole characters are removed."""
     spark = docs.sparkSession
     cover = difference_cover(order)
     if cover[0] >= width:
         raise ValueError("the cover's modulus must be below the width")
     short = width - cover[0] + 1
     id_type, kind = to_arrow_type(docs.schema["doc_id"].dataType), docs.schema["doc_id"].dataType.simpleString()
-    result = pa.schema([("doc_id", id_type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+    result = pa.schema([("doc_id", id_type), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept_text", pa.string())])
     size = docs.agg(F.sum(F.octet_length(whole_text()).cast("long"))).first()[0] or 0
     buckets = packed.buckets_for(-(-size // CHUNK_BYTES))
 
@@ -241,7 +250,7 @@ def spans(docs: DataFrame, width: int = WIDTH, order: int = ORDER) -> DataFrame:
                 kept_ids.append(doc_id)
                 kept.append(data.tobytes())
             else:
-                done.append(_row(doc_id, data, None))
+                done.append(_row(doc_id, data, None, texts))
         columns = [*table_of(done), pa.nulls(len(done), pa.int64()), pa.nulls(len(done), pa.binary())]
         if kept:
             whole = holds[np.searchsorted(t.ends, at, side="right")]
@@ -302,7 +311,7 @@ def spans(docs: DataFrame, width: int = WIDTH, order: int = ORDER) -> DataFrame:
         rest = suffixes_of(t, at, sums)
         again = rest[sums[SUFFIXES][t.names(rest, width)[1]] >= 2] if len(rest) else rest
         gone = t.covered(np.concatenate([twice_of(t, at, sums), again]))
-        rows = [_row(doc_id, t.data[t.starts[i] : t.ends[i]], gone[t.starts[i] : t.ends[i]]) for i, doc_id in enumerate(ids)]
+        rows = [_row(doc_id, t.data[t.starts[i] : t.ends[i]], gone[t.starts[i] : t.ends[i]], texts) for i, doc_id in enumerate(ids)]
         return pa.RecordBatch.from_arrays(table_of(rows), schema=result)
 
     every = long_names.unionByName(marked).unionByName(merged)
