@@ -70,10 +70,12 @@ def sent(kind: int, chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: i
     )
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def rows_of(batches: Iterator[pa.RecordBatch], held: int = 4_000_000) -> Iterator[tuple]:
+    """Rows as tuples; about `held` bytes at a time become Python objects."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 64):
-            yield from zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True)
+        step = max(1, min(256, held * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, step).columns), strict=True)
 
 
 def grouped(rows: Iterator[tuple], width: int) -> Iterator[tuple[tuple, list[tuple]]]:
