@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm import packed
-from corpusloom.llm.common import partitions, stored
+from corpusloom.llm.common import dropped, partitions, released, stored
 from corpusloom.llm.components import components
 from corpusloom.llm.packed import M1, mixed
 from corpusloom.llm.words import chunked, opened
@@ -78,7 +78,7 @@ def shingles(body: bytes, width: int = WIDTH):
 
 
 def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, and for documents that may have a link: node (16 bytes, by the set alone) and their shingles that
+    """Stored rows of doc_id, n_shingles, and for documents that may have a link: node (16 bytes, by the set alone) and their shingles that
     other documents hold too, the rarest first."""
     chunks = chunked(docs, F.lit(False), "join-chunks")
     buckets = packed.buckets_for(chunks.count())
@@ -110,7 +110,10 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
                 own.append(None)
         return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(sizes.astype(np.int64)), pa.array(nodes, pa.binary()), pa.array(own, pa.binary())], names=["doc_id", "n_shingles", "node", "keys"])
 
-    return packed.with_answers(chunks, answers, made, f"doc_id {kind}, n_shingles long, node binary, keys binary")
+    out = stored(packed.with_answers(chunks, answers, made, f"doc_id {kind}, n_shingles long, node binary, keys binary"), "join-sets")
+    dropped(chunks)
+    released(docs.sparkSession)
+    return out
 
 
 def search(sizes: np.ndarray, keys: list[np.ndarray], block: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -171,7 +174,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     """(doc_id, n_shingles, node, component_id) for every row, and links (a, b) between nodes that connect each component."""
     spark = docs.sparkSession
     n = partitions(spark)
-    found = stored(sets(docs, width, percent), "join-sets")
+    found = sets(docs, width, percent)
     nodes = stored(found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "join-nodes")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
