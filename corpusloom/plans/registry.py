@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from corpusloom.plans import aggregate_plans, dedup_plans, privacy_plans, sampling_plans, source_plans, statistic_plans, text_plans  # noqa: F401
+from corpusloom.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "agg_1"
