@@ -86,7 +86,7 @@ def validated(df: DataFrame, c: Contract, raw: str, title: str, require_evidence
     """Adds record, violations, valid, evidence_recall (1 when nothing needs evidence)."""
     out = df.withColumn("record", F.from_json(raw, c.schema()))
     bad = violations(c, F.col("record"), F.col(title), F.json_object_keys(raw), require_evidence)
-    out = out.withColumn("violations", F.when(F.col("record").isNull(), F.array(F.lit("json"))).otherwise(bad))
+    out = out.withColumn("violations", F.when(F.col("record").isNull() | F.json_object_keys(raw).isNull(), F.array(F.lit("json"))).otherwise(bad))
     wanted = _selected(c, F.col("record"))
     given = F.flatten(F.transform(F.coalesce(F.col("record.evidence"), F.array().cast(EVIDENCE)), lambda e: e["supports"]))
     recall = F.when(F.size(wanted) > 0, F.size(F.array_intersect(wanted, given)) / F.size(wanted)).otherwise(1.0)

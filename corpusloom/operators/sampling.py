@@ -54,20 +54,18 @@ def enriched(df: DataFrame, group: str, quotas: Mapping[str, int], seed: str | i
 
 
 def bounded_hamilton(populations: Mapping[Hashable, int], total: int, minima: Mapping[Hashable, int] | None = None) -> dict[Hashable, int]:
-    """Largest remainders between minima and capacities: what a full cell can't take goes round again. On the small table of cells."""
-    given = {c: min(n, (minima or {}).get(c, 0)) for c, n in populations.items()}
-    if not sum(given.values()) <= total <= sum(populations.values()):
-        raise ValueError("total outside of minima and capacities")
+    """Proportional shares of what is left, rounded down, round after round; when no cell gets a whole one any more, the largest
+    fractions get one each (ties by the cell's text). Runs over the small table of cells."""
+    given = {c: (minima or {}).get(c, 0) for c in populations}
+    if any(given[c] > n for c, n in populations.items()) or not sum(given.values()) <= total <= sum(populations.values()):
+        raise ValueError("the total does not fit minima and capacities")
     while (left := total - sum(given.values())) > 0:
-        room = {c: populations[c] - given[c] for c in populations if populations[c] > given[c]}
-        weight = sum(room.values())
-        exact = {c: left * n / weight for c, n in room.items()}
-        step = {c: min(room[c], math.floor(x)) for c, x in exact.items()}
-        rest = left - sum(step.values())
-        for c in sorted(room, key=lambda c: (-(exact[c] - math.floor(exact[c])), str(c))):
-            if rest and step[c] < room[c]:
-                step[c], rest = step[c] + 1, rest - 1
-        for c, n in step.items():
+        room = {c: n - given[c] for c, n in populations.items() if n > given[c]}
+        share = {c: left * n / sum(room.values()) for c, n in room.items()}
+        whole = {c: min(room[c], math.floor(x)) for c, x in share.items()}
+        if not any(whole.values()):
+            whole = dict.fromkeys(sorted(room, key=lambda c: (math.floor(share[c]) - share[c], str(c)))[:left], 1)
+        for c, n in whole.items():
             given[c] += n
     return given
 
