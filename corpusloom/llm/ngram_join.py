@@ -37,7 +37,7 @@ from corpusloom.llm.words import chunked, opened
 
 WIDTH, PERCENT = 5, 80
 #: Bytes of shingle sets of one block of a large cluster.
-BLOCK_BYTES = 24_000_000
+BLOCK_BYTES = 4_000_000
 #: Weight of a list's logarithm when long lists are told from short ones.
 MU = 0.01
 
