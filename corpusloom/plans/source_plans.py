@@ -162,7 +162,7 @@ query("stm_1", STATUS + "select user_id, status, attempts + 1 as attempts from q
 query("stm_2", STATUS + "select user_id, case when status = 'error' then substr(repeat('e', 5000), 1, 4000) else status end as state from q")(lambda spark, sf: _queue(spark, sf).select("user_id", F.when(F.col("status") == "error", F.substring(F.repeat(F.lit("e"), 5000), 1, 4000)).otherwise(F.col("status")).alias("state")))
 
 
-@query("stm_3", STATUS + "select user_id, case when (status = 'view' and updated < (select max(ts) from log) - interval 60 minute) or (status = 'click' and attempts < 50) then 'pending' else status end as status from q")
+@query("stm_3", STATUS + "select user_id, case when (status = 'view' and updated < (select max(ts) from log) - interval 60 minute) or (status in ('click', 'error') and attempts < 50) then 'pending' else status end as status from q")
 def stm_3(spark, sf):
     q = _queue(spark, sf)
     now = events(spark, sf).agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")).first()[0]
