@@ -233,18 +233,22 @@ def join_14(spark, sf):
 
 # windows
 
-W_SRC = Window.partitionBy("source")
+
+
+def w_src():
+    return Window.partitionBy("source")
+
 _simple = {
     "win_1": ("with {records} select source, doc_id from records qualify row_number() over (partition by source order by n_chars desc, doc_id) = 1", lambda d: d.groupBy("source").agg(F.min_by("doc_id", F.struct(-F.col("n_chars"), F.col("doc_id"))).alias("doc_id"))),
-    "win_2": ("with {records} select doc_id, count(*) over (partition by source) as n from records", lambda d: d.select("doc_id", F.count(F.lit(1)).over(W_SRC).alias("n"))),
-    "win_3": ("with {records} select doc_id from records qualify row_number() over (partition by source order by sha256(cast(doc_id as varchar))) <= 3", lambda d: d.withColumn("r", F.row_number().over(W_SRC.orderBy(sha256(F.col("doc_id").cast("string"))))).where("r <= 3").select("doc_id")),
+    "win_2": ("with {records} select doc_id, count(*) over (partition by source) as n from records", lambda d: d.select("doc_id", F.count(F.lit(1)).over(w_src()).alias("n"))),
+    "win_3": ("with {records} select doc_id from records qualify row_number() over (partition by source order by sha256(cast(doc_id as varchar))) <= 3", lambda d: d.withColumn("r", F.row_number().over(w_src().orderBy(sha256(F.col("doc_id").cast("string"))))).where("r <= 3").select("doc_id")),
     "win_4": ("with {records} select doc_id, row_number() over (partition by source, band order by doc_id) as candidate_order from records", lambda d: d.select("doc_id", F.row_number().over(Window.partitionBy("source", "band").orderBy("doc_id")).alias("candidate_order"))),
     "win_5": ("with {records} select doc_id, row_number() over (order by doc_id) as i from records", lambda d: D.numbered(d.select("doc_id"), ["doc_id"], "i").select("doc_id", F.col("i").cast("long").alias("i"))),
     "win_6": ("with {records} select doc_id, (row_number() over (order by doc_id) - 1) // 20 + 1 as batch from records", lambda d: D.numbered(d.select("doc_id"), ["doc_id"], "i").select("doc_id", F.expr("cast(i - 1 as bigint) div 20 + 1").alias("batch"))),
-    "win_7": ("with {records} select doc_id, min(n_chars) over (partition by source order by doc_id rows between current row and unbounded following) as m from records", lambda d: d.select("doc_id", F.min("n_chars").over(W_SRC.orderBy("doc_id").rowsBetween(0, Window.unboundedFollowing)).alias("m"))),
+    "win_7": ("with {records} select doc_id, min(n_chars) over (partition by source order by doc_id rows between current row and unbounded following) as m from records", lambda d: d.select("doc_id", F.min("n_chars").over(w_src().orderBy("doc_id").rowsBetween(0, Window.unboundedFollowing)).alias("m"))),
     "win_8": ("with {records}, w as (select band, count(*) as n from records group by band) select band, sum(n) over (order by band rows unbounded preceding)::bigint as running from w", lambda d: d.groupBy("band").agg(F.count(F.lit(1)).alias("n")).select("band", F.sum("n").over(Window.orderBy("band").rowsBetween(Window.unboundedPreceding, 0)).alias("running"))),
-    "win_9": ("with {records} select doc_id, coalesce(n_chars > lag(n_chars) over (partition by source order by doc_id), false) as grows from records", lambda d: d.select("doc_id", F.coalesce(F.col("n_chars") > F.lag("n_chars").over(W_SRC.orderBy("doc_id")), F.lit(False)).alias("grows"))),
-    "win_10": ("with {records} select source, lang, round(count(*) / sum(count(*)) over (partition by source), 9) as share from records group by source, lang", lambda d: d.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")).select("source", "lang", _r9(F.col("n") / F.sum("n").over(W_SRC)).alias("share"))),
+    "win_9": ("with {records} select doc_id, coalesce(n_chars > lag(n_chars) over (partition by source order by doc_id), false) as grows from records", lambda d: d.select("doc_id", F.coalesce(F.col("n_chars") > F.lag("n_chars").over(w_src().orderBy("doc_id")), F.lit(False)).alias("grows"))),
+    "win_10": ("with {records} select source, lang, round(count(*) / sum(count(*)) over (partition by source), 9) as share from records group by source, lang", lambda d: d.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n")).select("source", "lang", _r9(F.col("n") / F.sum("n").over(w_src())).alias("share"))),
 }
 for _key, (_sql, _f) in _simple.items():
     query(_key, _sql)(lambda spark, sf, f=_f: f(records(spark, sf)))
@@ -263,7 +267,7 @@ _more = {
     "ord_3": ("with {records} select doc_id, n_chars from records order by n_chars desc, doc_id limit 10", lambda d: d.orderBy(F.desc("n_chars"), "doc_id").limit(10).select("doc_id", "n_chars")),
     "ord_4": ("with {records} select doc_id from records order by case band when 'medium' then 0 when 'short' then 1 else 2 end, doc_id limit 1", lambda d: d.orderBy(F.when(F.col("band") == "medium", 0).when(F.col("band") == "short", 1).otherwise(2), "doc_id").limit(1).select("doc_id")),
     "ord_5": ("with {records} select doc_id from records order by doc_id limit 100", lambda d: d.orderBy("doc_id").limit(100).select("doc_id")),
-    "ord_6": ("with {records} select source, list(doc_id order by doc_id)[:5] as first_ids from records group by source", lambda d: d.withColumn("r", F.row_number().over(W_SRC.orderBy("doc_id"))).where("r <= 5").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("first_ids"))),
+    "ord_6": ("with {records} select source, list(doc_id order by doc_id)[:5] as first_ids from records group by source", lambda d: d.withColumn("r", F.row_number().over(w_src().orderBy("doc_id"))).where("r <= 5").groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("first_ids"))),
     "set_1": ("with {records} select 'a' as track, doc_id from records where lang = 'en' union all select 'b', doc_id from records where n_chars < 500", lambda d: d.where("lang = 'en'").select(F.lit("a").alias("track"), "doc_id").unionByName(d.where("n_chars < 500").select(F.lit("b").alias("track"), "doc_id"))),
     "set_2": ("with {records} select source from records where lang = 'en' intersect select source from records where lang = 'de'", lambda d: d.where("lang = 'en'").select("source").intersect(d.where("lang = 'de'").select("source"))),
     "set_3": ("with {records} select doc_id from records except select doc_id from records where lang = 'en'", lambda d: d.select("doc_id").exceptAll(d.where("lang = 'en'").select("doc_id"))),
