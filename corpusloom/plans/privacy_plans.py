@@ -325,3 +325,6 @@ query("con_26")(lambda spark, sf: _validated(spark, sf, require_evidence=False).
 def con_27(spark, sf):
     v = annotations(spark, sf).withColumn("r", F.from_json("raw", CODEBOOK.schema()))
     return v.select("doc_id", F.explode(C._selected(CODEBOOK, F.col("r"))).alias("p")).select("doc_id", "p.field", "p.code")
+
+#: The name model is a plug-in: any function from text to spans can take the place of `names_in`.
+query("udx_3")(prv_5)
