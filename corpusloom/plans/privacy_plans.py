@@ -10,7 +10,7 @@ from corpusloom.functions import udfs as U
 from corpusloom.functions.text import context, sha256
 from corpusloom.operators import contracts as C
 from corpusloom.operators import privacy as P
-from corpusloom.plans.base import events, query, records, table, units
+from corpusloom.plans.base import query, records, table, units
 
 EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}"
 

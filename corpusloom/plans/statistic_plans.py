@@ -11,7 +11,7 @@ from corpusloom.functions import udfs as U
 from corpusloom.operators import agreement as A
 from corpusloom.operators import design as DS
 from corpusloom.operators import models as FM
-from corpusloom.plans.base import events, query, r9, records, table, units
+from corpusloom.plans.base import events, query, r9, units
 
 BY_SOURCE = "with {units}, c as (select source, count(*)::double as n, count(*) filter (where toxic = 1)::double as k, 1.959963984540054 as z from units group by source), p as (select *, k / n as p from c) "
 

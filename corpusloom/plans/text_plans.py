@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions import udfs as U
 from corpusloom.plans.base import events, query, records, table, units
-from corpusloom.plans.base import r9 as _r9
 
 RULES = {
     "version": "1",
