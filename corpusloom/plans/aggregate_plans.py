@@ -51,7 +51,7 @@ def _metric_table(scopes: dict[str, str]):
 
 @query("agg_1", "with {units}, c as (select count(*)::double as n, count(*) filter (where quality = 1) as k, 1.959963984540054 as z from units), p as (select *, k / n as p from c) select 'quality' as metric, n::bigint as n, k as selected_n, round(p, 9) as estimate, round(greatest(0, ((p + z*z/(2*n)) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 9) as low, round(least(1, ((p + z*z/(2*n)) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 9) as high from p")
 def agg_1(spark, sf):
-    out = M.estimated(M.counted(units(spark, sf), metric_specs())).where("metric = 'quality'")
+    out = M.estimated(M.counted(units(spark, sf), [M.Metric("quality", F.lit(True), F.expr("quality = 1"))]))
     return out.select("metric", "n", "selected_n", *[r9(F.col(c)).alias(c) for c in ("estimate", "low", "high")])
 
 
