@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import dropped, stored
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -15,9 +15,11 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.min(F.least("a", "b")).alias("root")), f"{name}-labels")
     while True:
         near = both.join(labels.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("near"))
-        step = labels.join(near, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("old"))
+        step = labels.select("v", "root").join(near, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         # the label is a vertex too: go on to its label
         new = stored(step.join(labels.select(F.col("v").alias("root"), F.col("root").alias("further")), "root").select("v", F.least("root", "further").alias("root"), "old"), f"{name}-labels")
+        dropped(labels)
         if new.where("root != old").isEmpty():
+            dropped(both)
             return new.select("v", "root")
-        labels = new.select("v", "root")
+        labels = new

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import packed
-from corpusloom.llm.common import stored
+from corpusloom.llm.common import lean, stored
 from corpusloom.llm.packed import M1, M2, mixed
 from corpusloom.llm.words import chunked, opened
 
@@ -82,7 +82,7 @@ def score(docs: DataFrame, prior: float = PRIOR) -> DataFrame:
             yield packed.sent(WORD, chunk, word_keys, word_counts, buckets)
             yield packed.sent(PAIR, chunk, pair_keys, pair_counts, buckets)
 
-    answers = stored(packed.answered(chunks.select("chunk", "body").mapInArrow(send, packed.SENT)), "lm-answers")
+    answers = stored(packed.answered(chunks.select("chunk", "body").mapInArrow(lean(send), packed.SENT)), "lm-answers")
     total = answers.where(F.col("kind") == WORD).agg(F.sum("counts_total"), F.sum("keys_total")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
     kind = docs.schema["doc_id"].dataType.simpleString()

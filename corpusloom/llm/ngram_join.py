@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm import packed
-from corpusloom.llm.common import dropped, partitions, released, stored
+from corpusloom.llm.common import dropped, lean, partitions, released, stored
 from corpusloom.llm.components import components
 from corpusloom.llm.packed import M1, mixed
 from corpusloom.llm.words import chunked, opened
@@ -88,7 +88,7 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
             keys, counts = np.unique(shingles(body, width)[3], return_counts=True)
             yield packed.sent(0, chunk, keys, counts, buckets)
 
-    answers = packed.answered(chunks.select("chunk", "body").mapInArrow(send, packed.SENT))
+    answers = packed.answered(chunks.select("chunk", "body").mapInArrow(lean(send), packed.SENT))
     id_type, kind = to_arrow_type(docs.schema["doc_id"].dataType), docs.schema["doc_id"].dataType.simpleString()
 
     def made(row: tuple, sums: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -187,10 +187,11 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
                 node = part.column(0).take(pa.array(np.repeat(np.arange(len(first)), [len(f) for f in first])))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), node], names=["shingle", "node"])
 
-    ties = nodes.select("node", "n", "keys").mapInArrow(prefixes, "shingle long, node binary")
+    ties = nodes.select("node", "n", "keys").mapInArrow(lean(prefixes), "shingle long, node binary")
     ties = stored(ties, "join-ties")
     leaders = ties.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z")
     clusters = components(ties.join(leaders, "shingle").select("a", F.col("node").alias("b")).where("a != b").distinct(), "join-clusters")
+    dropped(ties)
     member = nodes.join(clusters.select(F.col("v").alias("node"), F.col("root").alias("cluster")), "node")
     blocks = member.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("keys") + 64) / BLOCK_BYTES).cast("int").alias("blocks"))
     dealt = (
@@ -208,7 +209,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
                     a, b = zip(*links, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([rows[i][4] for i in a], pa.binary()), pa.array([rows[i][4] for i in b], pa.binary())], names=["a", "b"])
 
-    links = stored(dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(linked, "a binary, b binary"), "join-links")
+    links = stored(dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(lean(linked), "a binary, b binary"), "join-links")
     roots = components(links, "join-components").select(F.col("v").alias("node"), "root")
     rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.common import lean
+
 RATE = 8000
 #: Samples in a PCM packet; packets of one page; bytes that payloads are padded to.
 PACKET, PAGE_PACKETS, BLOCK = 4096, 8, 64
@@ -201,7 +203,7 @@ def store(payloads: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), media], names=batch.schema.names[:1] + ["media"])
 
     key = payloads.schema.fields[0]
-    return payloads.mapInArrow(run, f"`{key.name}` {key.dataType.simpleString()}, media binary")
+    return payloads.mapInArrow(lean(run), f"`{key.name}` {key.dataType.simpleString()}, media binary")
 
 
 def extract(media: DataFrame) -> DataFrame:
@@ -216,7 +218,7 @@ def extract(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), payload, feature], names=[*batch.schema.names[:2], "payload", "feature"])
 
     key = media.schema.fields[0]
-    return media.mapInArrow(run, f"`{key.name}` {key.dataType.simpleString()}, media binary, payload binary, feature string")
+    return media.mapInArrow(lean(run), f"`{key.name}` {key.dataType.simpleString()}, media binary, payload binary, feature string")
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:

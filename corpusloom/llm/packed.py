@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import partitions
+from corpusloom.llm.common import lean, partitions
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SENT = "kind int, bucket int, chunk long, keys binary, counts binary"
@@ -114,7 +114,7 @@ def answered(emitted: DataFrame) -> DataFrame:
             )
 
     n = partitions(emitted.sparkSession)
-    return emitted.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(run, ANSWERED)
+    return emitted.repartition(n, "kind", "bucket").sortWithinPartitions("kind", "bucket", "chunk").mapInArrow(lean(run), ANSWERED)
 
 
 def with_answers(chunks: DataFrame, answers: DataFrame, made: Callable[[tuple, dict[int, np.ndarray]], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -133,4 +133,4 @@ def with_answers(chunks: DataFrame, answers: DataFrame, made: Callable[[tuple, d
 
     both = chunks.select("chunk", F.lit(-1).alias("kind"), F.lit(0).alias("bucket"), F.col("body").alias("data")).unionByName(answers.select("chunk", "kind", "bucket", F.col("counts").alias("data")))
     n = partitions(chunks.sparkSession)
-    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(run, schema)
+    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(lean(run), schema)

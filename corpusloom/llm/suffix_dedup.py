@@ -37,11 +37,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm import packed
-from corpusloom.llm.common import partitions, released, stored, whole_text
+from corpusloom.llm.common import lean, partitions, released, stored, whole_text
 
 WIDTH, ORDER = 400, 11
 #: UTF-8 bytes after which a chunk of documents is closed, and bytes looked at together.
-CHUNK_BYTES, PIECE = 12_000_000, 1 << 20
+CHUNK_BYTES, PIECE = 4_000_000, 1 << 19
 NAMES, LONG, MARKED, SUFFIXES = 0, 1, 2, 3
 SCHEMA = "doc_id {id}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>, kept_text string"
 
@@ -175,7 +175,7 @@ def chunked(docs: DataFrame) -> DataFrame:
         if ids:
             yield closed()
 
-    return docs.select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(run, "chunk long, body binary")
+    return docs.select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(lean(run), "chunk long, body binary")
 
 
 def _body(ids: list, texts: list[bytes], left: np.ndarray | None = None) -> bytes:
@@ -260,7 +260,7 @@ def spans(docs: DataFrame, width: int = WIDTH, order: int = ORDER, texts: bool =
 
     # 1: names of sampled tuples. Chunks come from the same scan twice; each answers to the keys it sent, or the job stops.
     chunks = chunked(docs)
-    names = stored(packed.answered(chunks.mapInArrow(send_names, packed.SENT)), "suffix-names")
+    names = stored(packed.answered(chunks.mapInArrow(lean(send_names), packed.SENT)), "suffix-names")
     released(spark)
     first = stored(packed.with_answers(chunks, names, keep_names, f"{SCHEMA.format(id=kind)}, chunk long, body binary"), "suffix-first")
     released(spark)
@@ -275,7 +275,7 @@ def spans(docs: DataFrame, width: int = WIDTH, order: int = ORDER, texts: bool =
             keys, place = t.names(long, width)
             yield packed.sent(LONG, chunk, keys, np.bincount(place, minlength=len(keys)), buckets)
 
-    long_names = stored(packed.answered(bodies.mapInArrow(send_long, packed.SENT)), "suffix-long")
+    long_names = stored(packed.answered(bodies.mapInArrow(lean(send_long), packed.SENT)), "suffix-long")
 
     def twice_of(t: Texts, at: np.ndarray, sums: dict) -> np.ndarray:
         long = at[at + width <= t.end_of(at)]

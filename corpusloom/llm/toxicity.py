@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored, whole_text
+from corpusloom.llm.common import lean, stored, whole_text
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Labelled rows used for fitting, at most.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 10_000
 LEVEL, RIDGE, ROUNDS = 0.05, 0.02, 300
 
 
@@ -88,7 +88,7 @@ def fit(counts: list[Counter], grades: np.ndarray, words: list[str]) -> Model:
     if not words or top == 0:
         return Model({}, [np.inf] * max(1, top))
     place = {w: i for i, w in enumerate(words)}
-    x = np.zeros((len(counts), len(words)))
+    x = np.zeros((len(counts), len(words)), np.float32)
     for i, c in enumerate(counts):
         for w in c.keys() & place.keys():
             x[i, place[w]] = np.log1p(c[w])
@@ -132,7 +132,7 @@ def trained(docs: DataFrame, labels: DataFrame, grade: str = "toxic", max_labell
     kind = docs.schema["doc_id"].dataType.simpleString()
     # the bound on labelled rows is also the bound of what is broadcast here
     sample = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(given), "doc_id").groupBy("doc_id", "grade").agg(F.max("text").alias("text"))
-    rows = stored(sample.mapInArrow(bags, f"doc_id {kind}, grade int, words array<string>, counts array<int>"), "toxicity-sample")
+    rows = stored(sample.mapInArrow(lean(bags), f"doc_id {kind}, grade int, words array<string>, counts array<int>"), "toxicity-sample")
     flat = rows.select("doc_id", "grade", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("doc_id", "grade", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     n1, n0 = (int(x or 0) for x in rows.agg(F.sum((F.col("grade") > 0).cast("int")), F.sum((F.col("grade") == 0).cast("int"))).first())
     by_word = flat.groupBy("word").agg(F.sum((F.col("grade") > 0).cast("double")).alias("a"), F.sum((F.col("grade") == 0).cast("double")).alias("b"))
@@ -185,4 +185,4 @@ def severity(docs: DataFrame, model: Model, reject_at: float = 0.4) -> DataFrame
                 toxic = 1 - p[:, 0]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(expected), pa.array(p.argmax(axis=1).astype(np.int32)), pa.array(toxic), pa.array(toxic >= reject_at)], names=["doc_id", "severity", "grade", "p_toxic", "rejected"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, severity double, grade int, p_toxic double, rejected boolean")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(lean(run), f"doc_id {kind}, severity double, grade int, p_toxic double, rejected boolean")

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import stored, whole_text
+from corpusloom.llm.common import lean, stored, whole_text
 from corpusloom.llm.packed import expand, squeeze
 
 #: UTF-8 bytes of text after which a chunk is closed.
@@ -65,7 +65,7 @@ def chunked(docs: DataFrame, flag: Column, name: str) -> DataFrame:
             yield closed()
 
     rows = docs.select("doc_id", flag.alias("flag"), whole_text().cast("binary").alias("text"))
-    return stored(rows.mapInArrow(run, "chunk long, docs long, body binary"), name)
+    return stored(rows.mapInArrow(lean(run), "chunk long, docs long, body binary"), name)
 
 
 def opened(body: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

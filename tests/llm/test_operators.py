@@ -8,7 +8,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from corpusloom.llm import ann, html_extraction, lm_scoring, mixing, ngram_join, ogg, sentencepiece_codec, sharding, suffix_dedup, toxicity
 
