@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm import packed
-from corpusloom.llm.common import lean, partitions, released, stored, whole_text
+from corpusloom.llm.common import dropped, lean, released, stored, whole_text
 
 WIDTH, ORDER = 400, 11
 #: UTF-8 bytes after which a chunk of documents is closed, and bytes looked at together.
@@ -152,8 +152,9 @@ class Texts:
         return np.searchsorted(open_, left, side="right") > np.searchsorted(open_, first)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """Rows (chunk long, body binary) of the documents' whole texts; the same for the same scan."""
+def chunked(docs: DataFrame, then: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = "chunk long, body binary") -> DataFrame:
+    """Rows (chunk long, body binary) of the documents' whole texts; the same for the same scan. What `then` makes of them is
+    made by the same Python worker: a second one for each task would double the memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -175,7 +176,8 @@ def chunked(docs: DataFrame) -> DataFrame:
         if ids:
             yield closed()
 
-    return docs.select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(lean(run), "chunk long, body binary")
+    whole = run if then is None else lambda batches: then(run(batches))
+    return docs.select("doc_id", whole_text().cast("binary").alias("text")).mapInArrow(lean(whole), schema)
 
 
 def _body(ids: list, texts: list[bytes], left: np.ndarray | None = None) -> bytes:
@@ -259,10 +261,10 @@ def spans(docs: DataFrame, width: int = WIDTH, order: int = ORDER, texts: bool =
         return pa.RecordBatch.from_arrays(columns, names=[*result.names, "chunk", "body"])
 
     # 1: names of sampled tuples. Chunks come from the same scan twice; each answers to the keys it sent, or the job stops.
-    chunks = chunked(docs)
-    names = stored(packed.answered(chunks.mapInArrow(lean(send_names), packed.SENT)), "suffix-names")
+    names = stored(packed.answered(chunked(docs, send_names, packed.SENT)), "suffix-names")
     released(spark)
-    first = stored(packed.with_answers(chunks, names, keep_names, f"{SCHEMA.format(id=kind)}, chunk long, body binary"), "suffix-first")
+    first = stored(packed.with_answers(chunked(docs), names, keep_names, f"{SCHEMA.format(id=kind)}, chunk long, body binary"), "suffix-first")
+    dropped(names)
     released(spark)
     bodies = first.where("body is not null").select("chunk", "body")
     done = first.where("body is null").select(*result.names)

@@ -14,13 +14,12 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from corpusloom.llm.common import lean, stored, whole_text
 from corpusloom.llm.packed import expand, squeeze
 
 #: UTF-8 bytes of text after which a chunk is closed.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 4_000_000
 
 
 def tokens(data: bytes) -> list[bytes]:
