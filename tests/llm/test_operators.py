@@ -312,6 +312,22 @@ def test_html_differencing(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
+def test_html_differencing_of_copies_and_ranges(spark):
+    page = lambda own: f"<body><p>Menu</p><p>{own}</p><p>Imprint</p></body>"
+    data = [(k, "https://h.example/a/1", page("copied")) for k in range(5)]
+    data += [(10 + k, f"https://h.example/b/{k:02}", page(f"own {k}")) for k in range(40)]
+    data += [(60, "https://z.example/1", page("x")), (61, "https://z.example/2", page("y")), (62, None, page("none")), (63, None, page("none"))]
+    expected = {r[0]: "copied" if r[0] < 5 else f"own {r[0] - 10}" for r in data if r[0] < 60} | {60: "x", 61: "y", 62: "Menu\nnone\nImprint", 63: "Menu\nnone\nImprint"}
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 7, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = html_extraction.extract(spark.createDataFrame(data, "page_id long, url string, html string").repartition(n)).collect()
+            assert len(got) == len(data) and {r.page_id: r.text for r in got} == expected
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+
+
 def test_common_lines():
     r = random.Random(4)
     for _ in range(200):
