@@ -9,9 +9,10 @@
    cluster can link. No pairs are made for that: each shingle ties its nodes to the least one.
 4. In a cluster, each node is searched in the inverted lists of the others: the short lists are merged, nodes that reach the
    threshold less the number of long lists are looked up in the long lists by binary search, and those with the required
-   overlap are linked. Nodes already known to be connected are not looked up. A cluster whose sets exceed BLOCK_BYTES
-   is dealt with as pairs of blocks, each pair a task of its own, so no task holds more than two blocks.
-5. Components of the links give the least doc_id that can be reached.
+   overlap are linked: every pair is given, once. A cluster whose sets exceed BLOCK_BYTES is dealt with as pairs of
+   blocks, each pair a task of its own, so no task holds more than two blocks. Links leave a task as they are found.
+5. Components of the links give the least doc_id that can be reached. They are made from the links that join two groups not
+   joined before in their task, as all links of a large cluster are many more and connect no more.
 
 Nulls, empty texts and texts without words: an empty set, linked with nothing. Repeated rows are equal sets, so one node.
 Very long texts count whole. Rows of equal doc_id and different text keep their own sets. An empty table gives an empty
@@ -38,6 +39,8 @@ from corpusloom.llm.words import chunked, opened
 WIDTH, PERCENT = 5, 80
 #: Bytes of shingle sets of one block of a large cluster.
 BLOCK_BYTES = 4_000_000
+#: Links that leave a task at once.
+LINKS_HELD = 16_384
 #: Weight of a list's logarithm when long lists are told from short ones.
 MU = 0.01
 
@@ -116,8 +119,9 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     return out
 
 
-def search(sizes: np.ndarray, keys: list[np.ndarray], block: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that connect all linked sets of a group; where it has two blocks, links between the blocks only."""
+def search(sizes: np.ndarray, keys: list[np.ndarray], block: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All links of a group, as arrays of x, of y, and of whether the link joins two parts not joined before; where it has two
+    blocks, links between the blocks only."""
     order = np.argsort(sizes, kind="stable")
     n = len(order)
     size, blocks = sizes[order].astype(np.int64), block[order]
@@ -130,16 +134,14 @@ def search(sizes: np.ndarray, keys: list[np.ndarray], block: np.ndarray, percent
     list_ends = np.cumsum(np.bincount(token))
     list_starts = np.append(0, list_ends[:-1])
     label = np.arange(n)
-    links = []
+    links, held = [], 0
     for x in range(n):
         need = int(least_overlap(size[x], percent))
         own = token[token_ends[x] - lengths[x] : token_ends[x]]
         lo = int(np.searchsorted(size, need))  # smaller sets cannot reach the overlap
         if lo >= x or len(own) < need:
             continue
-        open_ = label[lo:x] != label[x]
-        if across:
-            open_ &= blocks[lo:x] != blocks[x]
+        open_ = blocks[lo:x] != blocks[x] if across else np.ones(x - lo, bool)
         if not open_.any():
             continue
         first, last = list_starts[own], list_ends[own]
@@ -163,15 +165,25 @@ def search(sizes: np.ndarray, keys: list[np.ndarray], block: np.ndarray, percent
                 if not len(found):
                     break
         good = found[100 * overlap >= percent * (size[x] + size[found] - overlap)] if len(found) else found
-        for y in good:
-            if label[y] != label[x]:
-                links.append((int(order[x]), int(order[y])))
-                label[label == label[y]] = label[x]
-    return links
+        if not len(good):
+            continue
+        parts, first = np.unique(label[good], return_index=True)
+        new = parts != label[x]
+        joins = np.zeros(len(good), bool)
+        joins[first[new]] = True
+        if new.any():
+            label[np.isin(label, parts[new])] = label[x]
+        links.append((np.full(len(good), order[x]), order[good], joins))
+        held += len(good)
+        if held >= LINKS_HELD:
+            yield tuple(np.concatenate(c) for c in zip(*links, strict=True))
+            links, held = [], 0
+    if links:
+        yield tuple(np.concatenate(c) for c in zip(*links, strict=True))
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node, component_id) for every row, and links (a, b) between nodes that connect each component."""
+    """(doc_id, n_shingles, node, component_id) for every row, and all links (a, b) between different nodes, each once. Rows of one node have equal sets."""
     spark = docs.sparkSession
     n = partitions(spark)
     found = sets(docs, width, percent)
@@ -202,18 +214,19 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     )
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in packed.grouped(packed.rows_of(batches), 3):
-            if len(rows) > 1:
-                links = search(np.array([r[5] for r in rows]), [np.frombuffer(r[6], np.uint64) for r in rows], np.array([r[3] for r in rows]), percent)
-                if links:
-                    a, b = zip(*links, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([rows[i][4] for i in a], pa.binary()), pa.array([rows[i][4] for i in b], pa.binary())], names=["a", "b"])
-
-    links = stored(dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(lean(linked), "a binary, b binary"), "join-links")
-    roots = components(links, "join-components").select(F.col("v").alias("node"), "root")
+        for (_, i, j), rows in packed.grouped(packed.rows_of(batches), 3):
+            block = np.array([r[3] for r in rows])
+            if len(rows) < 2 or i != j and (block == block[0]).all():  # links inside a block are found by the block with itself
+                continue
+            nodes = pa.array([r[4] for r in rows], pa.binary())
+            for a, b, joins in search(np.array([r[5] for r in rows]), [np.frombuffer(r[6], np.uint64) for r in rows], block, percent):
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b)), pa.array(joins)], names=["a", "b", "joins"])
+
+    links = stored(dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(lean(linked), "a binary, b binary, joins boolean"), "join-links")
+    roots = components(links.where("joins"), "join-components").select(F.col("v").alias("node"), "root")
     rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     alone = found.where("node is null").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id"))
     # a hot set may hold many rows: its rows are dealt out by the engine's own handling of skewed joins
     tied = found.where("node is not null").select("doc_id", "n_shingles", "node").join(least, "node").select("doc_id", "n_shingles", "node", "component_id")
-    return alone.unionByName(tied), links
+    return alone.unionByName(tied), links.select("a", "b")

@@ -179,6 +179,23 @@ def test_ngram_join(spark, empty, monkeypatch, block):
         assert ngram_join.join(empty)[0].count() == 0
 
 
+@pytest.mark.parametrize("block", [ngram_join.BLOCK_BYTES, 1500])
+def test_ngram_join_links_are_whole(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block)
+    monkeypatch.setattr(ngram_join, "LINKS_HELD", 7)
+    words = [f"c{i}" for i in range(80)]
+    texts = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(0, 80, 4)] + [" ".join(words)] * 2 + ["alone"]
+    found, links = ngram_join.join(documents(spark, texts).repartition(3))
+    docs_of = defaultdict(set)
+    for r in found.collect():
+        docs_of[r.node and bytes(r.node)].add(r.doc_id)
+    sets = shingle_sets(texts)
+    expected = {(i, j) for i in range(len(texts)) for j in range(i) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    pairs = [(bytes(r.a), bytes(r.b)) for r in links.collect()]
+    assert len({frozenset(p) for p in pairs}) == len(pairs) > len(texts)
+    assert {(max(i, j), min(i, j)) for a, b in pairs for i in docs_of[a] for j in docs_of[b]} == expected
+
+
 # 4
 
 
