@@ -65,6 +65,30 @@ def profile_interval(x: np.ndarray, y: np.ndarray, fit: dict, j: int, n: np.ndar
     return ends[0], ends[1], math.erfc(math.sqrt(max(drop(0.0), 0.0) / 2))
 
 
+def risk_difference(x: np.ndarray, n: np.ndarray, beta: np.ndarray) -> float:
+    """Mean probability if all were treated (column 1) less that if none were."""
+    high, low = x.copy(), x.copy()
+    high[:, 1], low[:, 1] = 1, 0
+    p = [1 / (1 + np.exp(-(m @ beta))) for m in (high, low)]
+    return float(((p[0] - p[1]) * n).sum() / n.sum())
+
+
+def resampled(x: np.ndarray, y: np.ndarray, n: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, n) of a bootstrap draw of rows within each treatment (column 1): patterns that drew no row and columns that then depend
+    on those before them are left out."""
+    new_y, new_n = np.zeros(len(y)), np.zeros(len(n))
+    for treated in np.unique(x[:, 1]):
+        at = np.flatnonzero(x[:, 1] == treated)
+        cells = np.concatenate([y[at], n[at] - y[at]])
+        hits, misses = np.split(rng.multinomial(int(cells.sum()), cells / cells.sum()).astype(float), 2)
+        new_y[at], new_n[at] = hits, hits + misses
+    design, kept = x[new_n > 0], []
+    for j in range(design.shape[1]):
+        if np.linalg.matrix_rank(design[:, [*kept, j]]) > len(kept):
+            kept.append(j)
+    return design[:, kept], new_y[new_n > 0], new_n[new_n > 0]
+
+
 def dummies(values: list, levels: list) -> np.ndarray:
     """One column for each level but the first."""
     return np.array([[float(v == l) for l in levels[1:]] for v in values]).reshape(len(values), max(0, len(levels) - 1))

@@ -286,19 +286,15 @@ def _cmh(key):
 _cmh("sta_37")
 
 
+#: Bootstrap replicates, as many as the reference draws.
+REPLICATES = 999
+
+
 @query("sta_39")
 def sta_39(spark, sf):
-    """Risk difference by g-computation, with bootstrap replicates as tasks over the grouped design."""
+    """Risk difference by g-computation, with bootstrap replicates as tasks over the grouped design. Rows are drawn within
+    each treatment; a replicate whose fit does not converge is counted as a failure."""
     x, y, n, _ = _grouped_design(spark, sf)
-    p = np.divide(y, n)
-
-    def difference(beta):
-        hi, lo = x.copy(), x.copy()
-        hi[:, 1], lo[:, 1] = 1, 0
-        s = lambda m: 1 / (1 + np.exp(-(m @ beta)))
-        return float(((s(hi) - s(lo)) * n).sum() / n.sum())
-
-    estimate = difference(FM.fit_firth(x, y, n)["beta"])
 
     def replicate(frames):
         import pandas as pd
@@ -306,9 +302,12 @@ def sta_39(spark, sf):
         for frame in frames:
             out = []
             for i in frame["id"]:
-                draw = np.random.default_rng(20260815 + int(i)).binomial(n.astype(int), p).astype(float)
-                out.append(difference(FM.fit_firth(x, draw, n, rounds=50)["beta"]))
-            yield pd.DataFrame({"value": out})
-
-    boots = spark.range(0, 199, 1, 4).mapInPandas(replicate, "value double")
-    return boots.agg(F.round(F.percentile("value", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("value", F.lit(0.975)), 6).alias("high")).withColumn("estimate", F.lit(round(estimate, 6)))
+                design, draw, drawn = FM.resampled(x, y, n, np.random.default_rng(20260815 + int(i)))
+                fit = FM.fit_firth(design, draw, drawn)
+                out.append(FM.risk_difference(design, drawn, fit["beta"]) if fit["converged"] else None)
+            yield pd.DataFrame({"value": pd.array(out, "Float64")})
+
+    boots = spark.range(0, REPLICATES, 1, 4).mapInPandas(replicate, "value double")
+    ends = [F.round(F.percentile("value", F.lit(q)), 6).alias(name) for q, name in ((0.025, "low"), (0.975, "high"))]
+    estimate = FM.risk_difference(x, n, FM.fit_firth(x, y, n)["beta"])
+    return boots.agg(*ends, F.count("value").alias("successful"), F.count_if(F.col("value").isNull()).alias("failures")).withColumn("estimate", F.lit(round(estimate, 6)))

@@ -185,3 +185,22 @@ def test_page_items(spark):
 def test_guarded_sink(spark):
     with pytest.raises(ValueError, match="not to be published"):
         records.guarded(spark.createDataFrame([("x",)], "text string"))
+
+
+def test_bootstrap_draws_rows_within_treatment_999_times(spark):
+    import numpy as np
+
+    import __spark_entry__ as entry
+    from corpusloom.operators import models
+
+    x = np.array([[1, 0, 0], [1, 0, 1], [1, 1, 0], [1, 1, 1]], float)
+    n, y = np.array([20, 1, 30, 2], float), np.array([5, 1, 12, 0], float)
+    sizes = set()
+    for i in range(50):
+        design, hits, drawn = models.resampled(x, y, n, np.random.default_rng(i))
+        assert [drawn[design[:, 1] == t].sum() for t in (0, 1)] == [21, 32] and (hits <= drawn).all() and (drawn > 0).all()
+        assert np.linalg.matrix_rank(design) == design.shape[1]
+        sizes.add(tuple(drawn))
+    assert len(sizes) > 1
+    row = entry.queries()["sta_39"](spark, "/root/testdata/sf0.001").first()
+    assert row.successful + row.failures == 999 and row.successful > 900 and row.low <= row.estimate <= row.high
