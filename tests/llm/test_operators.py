@@ -182,7 +182,7 @@ def test_ngram_join(spark, empty, monkeypatch, block):
 @pytest.mark.parametrize("block", [ngram_join.BLOCK_BYTES, 1500])
 def test_ngram_join_links_are_whole(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block)
-    monkeypatch.setattr(ngram_join, "LINKS_HELD", 7)
+    monkeypatch.setattr(ngram_join, "LINKS_HELD", 7, raising=False)
     words = [f"c{i}" for i in range(80)]
     texts = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(0, 80, 4)] + [" ".join(words)] * 2 + ["alone"]
     found, links = ngram_join.join(documents(spark, texts).repartition(3))
