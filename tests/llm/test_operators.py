@@ -130,6 +130,22 @@ def test_sentencepiece_fuzz(model_path):
         assert own == m.library.encode(t)
         ids = [r.randrange(3, 300) if r.random() < 0.5 else r.randrange(32000) for _ in range(6)]
         assert m.decode(ids) == m.library.decode(ids)
+        assert m.decode_batch(np.array(ids), np.array([0, 2, 2, 6])).to_pylist() == [m.library.decode(x) for x in (ids[:2], [], ids[2:])]
+
+
+def test_sentencepiece_segments_are_cut_where_no_piece_joins(model_path):
+    with open(model_path, "rb") as file:
+        m = sentencepiece_codec.PieceModel(file.read())
+    assert m.signs and not any(c.isalpha() for c in m.signs)
+    whole = sentencepiece_codec.PieceModel(m.library.serialized_model_proto())
+    r = random.Random(5)
+    for _ in range(500):
+        t = "".join(r.choice("aéx ▁.,1²_'\n中①ª") for _ in range(r.randint(1, 14)))
+        whole.cut = r.choice([None, sentencepiece_codec.WORD])
+        segments = m.cut.findall("▁" + t.replace(" ", "▁"))
+        words = [t[k : k + 5] for k in range(0, len(t), 5)]
+        assert m.merge_batch(words) == [np.array(m.merge(w), np.int32).tobytes() for w in words]
+        assert "".join(segments) == "▁" + t.replace(" ", "▁") and m.encode_batch([t]) == whole.encode_batch([t])
 
 
 # 3
