@@ -14,6 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from corpusloom.llm.common import lean, stored, whole_text
 from corpusloom.llm.packed import expand, squeeze
@@ -28,7 +29,7 @@ def tokens(data: bytes) -> list[bytes]:
 
 
 def chunked(docs: DataFrame, flag: Column, name: str) -> DataFrame:
-    """Stored rows (chunk long, docs long, body binary); flag is a boolean that goes with each document."""
+    """Stored rows (chunk long, docs long, words long, body binary); flag is a boolean that goes with each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -45,7 +46,7 @@ def chunked(docs: DataFrame, flag: Column, name: str) -> DataFrame:
             lengths = np.array([len(f) for f in found], np.int64)
             words = np.concatenate(found) if found else np.empty(0, np.int32)
             body = pickle.dumps((ids, np.array(flags, bool), squeeze(lengths), squeeze(words), hashes.tobytes()), protocol=5)
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([body], pa.binary())], names=["chunk", "docs", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | number], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([len(words)], pa.int64()), pa.array([body], pa.binary())], names=["chunk", "docs", "words", "body"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -64,7 +65,13 @@ def chunked(docs: DataFrame, flag: Column, name: str) -> DataFrame:
             yield closed()
 
     rows = docs.select("doc_id", flag.alias("flag"), whole_text().cast("binary").alias("text"))
-    return stored(rows.mapInArrow(lean(run), "chunk long, docs long, body binary"), name)
+    return stored(rows.mapInArrow(lean(run), "chunk long, docs long, words long, body binary"), name)
+
+
+def extent(chunks: DataFrame) -> tuple[int, int]:
+    """Number of chunks, and of all words."""
+    row = chunks.agg(F.count(F.lit(1)), F.sum("words")).first()
+    return row[0], row[1] or 0
 
 
 def opened(body: bytes) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

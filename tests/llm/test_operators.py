@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from corpusloom.llm import ann, html_extraction, lm_scoring, mixing, ngram_join, ogg, sentencepiece_codec, sharding, suffix_dedup, toxicity
+from corpusloom.llm import ann, html_extraction, lm_scoring, mixing, ngram_join, ogg, packed, sentencepiece_codec, sharding, suffix_dedup, toxicity
 
 LONG = "word " * 30_000
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, slot int, shard int, chunk int, kind string"
@@ -53,10 +53,21 @@ def rows(df, key="doc_id"):
 # 1
 
 
-def removed(texts, width):
+def removed(texts, width, short=0):
+    """Bytes in strings of this width that start twice; with short, those too in strings of that width that hold none of these."""
     data = [(t or "").encode() for t in texts]
     count = Counter(d[i : i + width] for d in data for i in range(len(d) - width + 1))
     out = []
+    if short:
+        begins = lambda d, i: not d[i : i + 1].isspace() and (i == 0 or d[i - 1 : i].isspace())
+        twice = Counter(d[i : i + short] for d in data for i in range(len(d) - short + 1) if begins(d, i))
+        for d, gone in zip(data, removed(texts, width), strict=True):
+            more = gone.copy()
+            for i in range(len(d) - short + 1):
+                if begins(d, i) and twice[d[i : i + short]] > 1 and not gone[i : i + short].any():
+                    more[i : i + short] = True
+            out.append(more)
+        return out
     for d in data:
         gone = np.zeros(len(d) + 1, int)
         for i in range(len(d) - width + 1):
@@ -73,16 +84,37 @@ def test_difference_cover(order):
     assert {(a - b) % v for a in cover for b in cover} == set(range(v))
 
 
-def test_suffix_dedup(spark, docs, empty):
+@pytest.mark.parametrize("group", [packed.GROUP, 1])
+def test_suffix_dedup(spark, empty, monkeypatch, group):
+    monkeypatch.setattr(packed, "GROUP", group)
+    monkeypatch.setattr(packed, "GROUPED", 2)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 4_000_000 if group > 1 else 12_000)
     texts = [t for t in corpus() if t != LONG] + ["ab" * 400, "x" * 399, "y" * 400, "é" * 500]
     got = rows(suffix_dedup.spans(documents(spark, texts).repartition(3), texts=True))
+    shared = removed(texts, 400, 267)
     for i, (t, gone) in enumerate(zip(texts, removed(texts, 400), strict=True)):
         d = np.frombuffer((t or "").encode(), np.uint8)
-        runs = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
-        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (len(d), gone.sum(), runs)
+        starts = int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum())
+        assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans) == (len(d), gone.sum(), starts)
         assert got[i].kept_sha256 == hashlib.sha256(d[~gone].tobytes()).hexdigest()
-        assert len(got[i].kept_text.encode()) >= len(d) - gone.sum()
-    assert suffix_dedup.spans(empty).count() == 0
+        long = suffix_dedup.passages(d, shared[i], suffix_dedup.PASSAGE_WORDS)
+        assert got[i].n_passages == len(long)
+        lost = gone.copy()
+        for a, z in long:
+            lost[a:z] = True
+        assert got[i].kept_text.encode() == d[~suffix_dedup.whole_characters(d, lost)].tobytes()
+    if group > 1:
+        assert suffix_dedup.spans(empty).count() == 0
+
+
+def test_suffix_dedup_reports_passages_of_fifty_words(spark):
+    r = random.Random(6)
+    text = lambda n: " ".join(f"w{r.randrange(10**5)}" for _ in range(n))
+    passage = text(54)
+    assert 267 <= len(passage) < 400
+    got = rows(suffix_dedup.spans(documents(spark, [f"{text(40)} {passage} {text(90)}", f"{text(70)} {passage}", text(200)]), texts=True))
+    assert [got[i].n_passages for i in range(3)] == [1, 1, 0] and all(got[i].n_removed == 0 for i in range(3))
+    assert passage not in got[0].kept_text and passage not in got[1].kept_text and got[2].n_bytes == len(got[2].kept_text)
 
 
 def test_suffix_dedup_of_repetition_and_pieces(monkeypatch):
@@ -90,9 +122,49 @@ def test_suffix_dedup_of_repetition_and_pieces(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 512)
     suffix_dedup._POWERS.clear()
     at = np.arange(0, 5000)
-    names = suffix_dedup.fingerprints(t.data, at, 40)
+    names = [suffix_dedup.fingerprints(t.data, at, 40, k) for k in (0, 1)]
     suffix_dedup._POWERS.clear()
-    assert len(set(names.tolist())) == 2 and (names[::2] == names[0]).all()
+    assert all(len(set(x.tolist())) == 2 and (x[::2] == x[0]).all() for x in names) and names[0][0] != names[1][0]
+
+
+def test_names_of_parts_stand_for_strings():
+    r = random.Random(2)
+    d = bytes(r.choice(b"ab") for _ in range(3000))
+    t = suffix_dedup.Texts(d, np.array([3000]), suffix_dedup.difference_cover(3), 40)
+    at = t.fits(t.at, 40)
+    for parts, length in ((1, t.short), (t.parts - 1, t.middle), (t.parts, 40)):
+        by_name, by_string = (len(set(x)) for x in (t.named(at, parts).tolist(), [d[i : i + length] for i in at.tolist()]))
+        assert by_name == by_string
+
+
+def test_packed_sums(spark, monkeypatch):
+    """Sums by levels of merged chunks are those of one level, with and without checks, for hot and rare keys."""
+    rng = np.random.default_rng(4)
+    chunks = {c: np.unique(np.concatenate([rng.integers(0, 1 << 64, 200, dtype=np.uint64), rng.integers(0, 1 << 64, 1, dtype=np.uint64), np.arange(50, dtype=np.uint64) << np.uint64(58)])) for c in range(9)}
+    for c in (3, 7):
+        chunks[c] = np.unique(np.concatenate([chunks[c], chunks[1][::3]]))
+    total = Counter()
+    for c, keys in chunks.items():
+        total.update({int(k): c + 1 for k in keys})
+    for checked in (False, True):
+        sent = [packed.sent(0, c, k, np.full(len(k), c + 1), checks=packed.mixed(k) >> np.uint64(32) if checked else None) for c, k in chunks.items()]
+        emitted = spark.createDataFrame([tuple(r.values()) for b in sent for r in b.to_pylist()], packed.SENT)
+        for group in (512, 4, 1):
+            monkeypatch.setattr(packed, "GROUP", group)
+            monkeypatch.setattr(packed, "GROUPED", 2)
+            got = defaultdict(list)
+            answers = packed.answered(emitted, len(chunks)).collect()
+            for r in sorted(answers, key=lambda r: (r.chunk, r.bucket)):
+                got[r.chunk] += packed.expand(r.counts, np.int64).tolist()
+            assert all(got[c] == [total[int(k)] for k in keys] for c, keys in chunks.items())
+            assert (sum(r.keys_total for r in answers), sum(r.counts_total for r in answers)) == (len(total), sum(total.values()))
+    monkeypatch.undo()
+    masks = [packed.sent(packed.MASKS, c, np.array([7, 8 + c], np.uint64), np.array([1 << c, 1 << 40])) for c in range(4)]
+    emitted = spark.createDataFrame([tuple(r.values()) for b in masks for r in b.to_pylist()], packed.SENT)
+    assert {tuple(packed.expand(r.counts, np.int64)) for r in packed.answered(emitted, 4).collect()} == {(15, 1 << 40)}
+    keys, same = np.array([5, 9], np.uint64), np.array([1, 2], np.uint64)
+    every, _, place, _ = packed.merged([packed.pack_keys(keys)] * 2, [same.astype(np.uint32).tobytes(), np.array([1, 3], np.uint32).tobytes()])
+    assert every.tolist() == [5, 9, 9] and place.tolist() == [0, 1, 0, 2]
 
 
 # 2
@@ -200,14 +272,18 @@ def test_ngram_join_links_are_whole(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", block)
     monkeypatch.setattr(ngram_join, "LINKS_HELD", 7, raising=False)
     words = [f"c{i}" for i in range(80)]
-    texts = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(0, 80, 4)] + [" ".join(words)] * 2 + ["alone"]
-    found, links = ngram_join.join(documents(spark, texts).repartition(3))
-    docs_of = defaultdict(set)
+    texts = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(0, 80, 4)] + [" ".join(words)] * 2 + ["alone", "", "copied twice", "copied twice", None]
+    docs = documents(spark, texts).repartition(3)
+    found, links = ngram_join.join(docs)
+    docs_of, n_links = defaultdict(set), {}
     for r in found.collect():
         docs_of[r.node and bytes(r.node)].add(r.doc_id)
+        n_links[r.doc_id] = r.n_links
     sets = shingle_sets(texts)
-    expected = {(i, j) for i in range(len(texts)) for j in range(i) if sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-    pairs = [(bytes(r.a), bytes(r.b)) for r in links.collect()]
+    linked = lambda i, j: bool(sets[i]) and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    assert n_links == {i: sum(linked(i, j) for j in range(len(texts)) if j != i) for i in range(len(texts))}
+    expected = {(i, j) for i in range(len(texts)) for j in range(i) if sets[i] != sets[j] and linked(i, j)}
+    pairs = [(bytes(r.a), bytes(r.b)) for r in links().collect()]
     assert len({frozenset(p) for p in pairs}) == len(pairs) > len(texts)
     assert {(max(i, j), min(i, j)) for a, b in pairs for i in docs_of[a] for j in docs_of[b]} == expected
 
@@ -420,21 +496,37 @@ def test_lm_scoring(spark, docs, empty):
     got = rows(lm_scoring.score(docs))
     tokens = {i: (t or "").encode().lower().split() + ["END"] for i, t in enumerate(texts)}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
-    one, two = Counter(), Counter()
+    one, two, three = Counter(), Counter(), Counter()
     for i, w in tokens.items():
         if not held[i]:
             one.update(w)
             two.update(zip(["BEGIN", *w[:-1]], w, strict=True))
+            three.update(zip(["BEGIN", *w[:-2]], w[:-1], w[1:], strict=True) if len(w) > 1 else ())
     n, v = sum(one.values()), len(one)
     one["BEGIN"] = one["END"]
+    k = lm_scoring.PRIOR
+    p1 = lambda x: (one[x] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda h, x: (two[h, x] + k * p1(x)) / (one[h] + k)
+
+    def p3(g, h, x):
+        return (three[g, h, x] + k * p2(h, x)) / (two[g, h] + k) if g and two[g, h] >= lm_scoring.LEAST else p2(h, x)
+
     for i, w in tokens.items():
-        p = [(one[x] + 0.5) / (n + 0.5 * (v + 1)) for x in w]
-        s = sum(math.log10((two[h, x] + lm_scoring.PRIOR * q) / (one[h] + lm_scoring.PRIOR)) for h, x, q in zip(["BEGIN", *w[:-1]], w, p, strict=True))
+        s = sum(math.log10(p3(g, h, x)) for g, h, x in zip([None, "BEGIN", *w[:-2]], ["BEGIN", *w[:-1]], w, strict=False))
         assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (held[i], len(w), sum(one[x] > 0 for x in w), n)
-        assert got[i].base_score == pytest.approx(sum(map(math.log10, p)), rel=1e-12) and got[i].score == pytest.approx(s, rel=1e-12)
+        assert got[i].base_score == pytest.approx(sum(math.log10(p1(x)) for x in w), rel=1e-12) and got[i].score == pytest.approx(s, rel=1e-12)
     assert lm_scoring.score(empty).count() == 0
 
 
+def test_lm_states_sum_to_one_and_failure_arcs_back_off():
+    """By hand: words 0 and 1, the end 2; states 1, 2 (words), 4 (beginning), 5 (the pair 0 1)."""
+    log = lambda *p: [math.log10(x) for x in p]
+    (a, b, e), (ab,), (f1, f2) = log(0.5, 0.25, 0.25), log(0.9), log(0.2, 0.1)
+    m = lm_scoring.Automaton(4, {0: (a, 1), 1: (b, 2), 2: (e, 3), 1 * 4 + 1: (ab, 5), 5 * 4 + 0: (-0.1, 1)}, {1: (f1, 0), 2: (f1, 0), 3: (f1, 0), 4: (f1, 0), 5: (f2, 2)})
+    assert m.walk(4, [0, 1, 0]) == pytest.approx(f1 + a + ab - 0.1)
+    assert m.walk(4, [0, 1, 2]) == pytest.approx(f1 + a + ab + f2 + f1 + e)
+
+
 def test_lm_null_id(spark):
     got = lm_scoring.score(documents(spark, ["a b", None], [None, 3])).collect()
     assert len(got) == 2 and {r.doc_id for r in got} == {None, 3}
@@ -461,22 +553,59 @@ def test_raking_holds_marginals():
         names = sorted(set(k))
         share = rng.random(len(names)) + 0.5
         wanted.append(dict(zip(names, share / share.sum(), strict=True)))
-    w = mixing.raked_numbers(keys, tokens, wanted)
-    for k, goal in zip(keys, wanted, strict=True):
-        for name, share in goal.items():
-            assert sum(x for x, y in zip(w, k, strict=True) if y == name) == pytest.approx(share, abs=1e-6)
-    p = mixing.calibrated(tokens, w, 0.7)
-    assert (p * tokens).sum() == pytest.approx(0.7 * tokens.sum()) and p.max() <= 1
-    free = p < 1
-    rate = p[free] * tokens[free] / w[free]
-    assert rate == pytest.approx(rate[0])
+    cells = mixing.Numbers(keys, tokens)
+    mixing.raked(cells, wanted)
+    for axis, goal in enumerate(wanted):
+        assert cells.shares(axis) == pytest.approx(goal, abs=1e-6)
+    factor = mixing.calibrated(cells, tokens.sum(), 0.7)
+    p = np.minimum(1, factor * cells.weight / tokens)
+    assert (p * tokens).sum() == pytest.approx(0.7 * tokens.sum()) and (p == 1).any() and (p < 1).any()
+    assert mixing.calibrated(cells, tokens.sum(), 0.0) == 0
+
+
+def test_mixing_against_brute_force(spark, docs):
+    """The query's rows by plain Python: cells, raking, calibration."""
+    got = rows(mixing.mix(docs))
+    cell = {}
+    for i, t in enumerate(corpus()):
+        words = len([w for w in (t or "").encode().split() if w])
+        assert got[i].tokens == words and (got[i].source, got[i].lang) == (f"src{i % 3}", "en" if i % 2 else "")
+        key = got[i].source, got[i].lang, got[i].topic
+        cell[key] = cell.get(key, 0) + words
+    cell = {k: float(x) for k, x in cell.items() if x}
+    goals = []
+    for axis in range(3):
+        share = {}
+        for k, x in cell.items():
+            share[k[axis]] = share.get(k[axis], 0) + x
+        share = {k: x**mixing.FLATTEN for k, x in share.items()}
+        goals.append({k: x / sum(share.values()) for k, x in share.items()})
+    w = {k: x / sum(cell.values()) for k, x in cell.items()}
+    for _ in range(mixing.ROUNDS):
+        worst = 0
+        for axis in range(3):
+            have = {}
+            for k, x in w.items():
+                have[k[axis]] = have.get(k[axis], 0) + x
+            worst = max([worst, *(abs(have[k] - goals[axis][k]) for k in have)])
+            w = {k: x * goals[axis][k[axis]] / have[k[axis]] for k, x in w.items()}
+        if worst < mixing.TOLERANCE:
+            break
+    low, high = 0.0, 1e6
+    for _ in range(300):
+        factor = (low + high) / 2
+        kept = sum(min(cell[k], factor * w[k]) for k in cell)
+        low, high = (factor, high) if kept < mixing.KEEP * sum(cell.values()) else (low, factor)
+    for r in got.values():
+        key = r.source, r.lang, r.topic
+        assert r.probability == pytest.approx(min(1, factor * w[key] / cell[key]) if key in cell else 1.0, rel=1e-9)
 
 
 def test_mixing_by_table(spark, docs):
     by_driver = rows(mixing.mix(docs))
     by_table = rows(mixing.mix(docs, max_cells=0))
     for i, r in by_driver.items():
-        assert by_table[i].probability == pytest.approx(r.probability, abs=0.02)
+        assert by_table[i].probability == pytest.approx(r.probability, abs=1e-9) and by_table[i].sampled == r.sampled
 
 
 def test_package_is_alone():
