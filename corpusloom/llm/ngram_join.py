@@ -9,19 +9,24 @@
    cluster can link. No pairs are made for that: each shingle ties its nodes to the least one.
 4. In a cluster, each node is searched in the inverted lists of the others: the short lists are merged, nodes that reach the
    threshold less the number of long lists are looked up in the long lists by binary search, and those with the required
-   overlap are linked: every pair is given, once. A cluster whose sets exceed BLOCK_BYTES is dealt with as pairs of
-   blocks, each pair a task of its own, so no task holds more than two blocks. Links leave a task as they are found.
-5. Components of the links give the least doc_id that can be reached. They are made from the links that join two groups not
-   joined before in their task, as all links of a large cluster are many more and connect no more.
-
-Nulls, empty texts and texts without words: an empty set, linked with nothing. Repeated rows are equal sets, so one node.
-Very long texts count whole. Rows of equal doc_id and different text keep their own sets. An empty table gives an empty
-result. Other columns than doc_id and text are not read.
+   overlap are linked. A cluster whose sets exceed BLOCK_BYTES is dealt with as pairs of blocks, each pair a task of its own,
+   so no task holds more than two blocks.
+5. All links are found and counted, but a task hands out sums: for each node its number of links, and of the links those that
+   join two groups not joined before in the task, as no others change the components. These give the least doc_id that can be
+   reached. The pairs themselves, whose number is the square of a cluster's, are a table of their own for those who want them.
+
+Document frequencies only filter and order, so shingles are counted by as many leading bits of their hash as tell them apart
+but for one in 256; overlaps are those of whole 64-bit hashes, and two different shingles are taken for equal with a
+probability of n^2 / 2^65 for the n shingles of a cluster.
+
+Nulls, empty texts and texts without words: an empty set, linked with nothing. Repeated rows are equal sets, so one node, and
+linked. Ties in frequency are ordered by hash. Very long texts count whole. Rows of equal doc_id and different text keep their
+own sets. An empty table gives an empty result. Other columns than doc_id and text are not read, so clashing names do not matter.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +39,11 @@ from corpusloom.llm import packed
 from corpusloom.llm.common import dropped, lean, partitions, released, stored
 from corpusloom.llm.components import components
 from corpusloom.llm.packed import M1, mixed
-from corpusloom.llm.words import chunked, opened
+from corpusloom.llm.words import chunked, extent, opened
 
 WIDTH, PERCENT = 5, 80
 #: Bytes of shingle sets of one block of a large cluster.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 #: Links that leave a task at once.
 LINKS_HELD = 16_384
 #: Weight of a list's logarithm when long lists are told from short ones.
@@ -84,21 +89,23 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     """Stored rows of doc_id, n_shingles, and for documents that may have a link: node (16 bytes, by the set alone) and their shingles that
     other documents hold too, the rarest first."""
     chunks = chunked(docs, F.lit(False), "join-chunks")
-    buckets = packed.buckets_for(chunks.count())
+    n_chunks, n_words = extent(chunks)
+    bits = packed.bits_for(n_words)
+    cut = np.uint64(64 - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, body in packed.rows_of(batches):
-            keys, counts = np.unique(shingles(body, width)[3], return_counts=True)
-            yield packed.sent(0, chunk, keys, counts, buckets)
+            keys, counts = np.unique(shingles(body, width)[3] >> cut, return_counts=True)
+            yield packed.sent(0, chunk, keys, counts, bits)
 
-    answers = packed.answered(chunks.select("chunk", "body").mapInArrow(lean(send), packed.SENT))
+    answers = stored(packed.answered(chunks.select("chunk", "body").mapInArrow(lean(send), packed.SENT), n_chunks, bits), "join-answers")
+    released(docs.sparkSession)
     id_type, kind = to_arrow_type(docs.schema["doc_id"].dataType), docs.schema["doc_id"].dataType.simpleString()
 
     def made(row: tuple, sums: dict[int, np.ndarray]) -> pa.RecordBatch:
         ids, sizes, _, keys = shingles(row[1], width)
         if len(keys):
-            every, place = np.unique(keys, return_inverse=True)
-            held = sums[0][place]
+            held = sums[0][np.unique(keys >> cut, return_inverse=True)[1]]
         ends = np.cumsum(sizes)
         nodes, own = [], []
         for n, end in zip(sizes.tolist(), ends.tolist(), strict=True):
@@ -114,7 +121,7 @@ def sets(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(sizes.astype(np.int64)), pa.array(nodes, pa.binary()), pa.array(own, pa.binary())], names=["doc_id", "n_shingles", "node", "keys"])
 
     out = stored(packed.with_answers(chunks, answers, made, f"doc_id {kind}, n_shingles long, node binary, keys binary"), "join-sets")
-    dropped(chunks)
+    dropped(chunks, answers)
     released(docs.sparkSession)
     return out
 
@@ -182,12 +189,14 @@ def search(sizes: np.ndarray, keys: list[np.ndarray], block: np.ndarray, percent
         yield tuple(np.concatenate(c) for c in zip(*links, strict=True))
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, node, component_id) for every row, and all links (a, b) between different nodes, each once. Rows of one node have equal sets."""
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """(doc_id, n_shingles, node, component_id, n_links) for every row, where rows of one node have equal sets and n_links is the
+    number of other rows that the row links with; and what gives all links (a, b) between different nodes, each once."""
     spark = docs.sparkSession
     n = partitions(spark)
     found = sets(docs, width, percent)
-    nodes = stored(found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "join-nodes")
+    grouped = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies"))
+    nodes = stored(grouped, "join-nodes")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,29 +213,44 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[D
     leaders = ties.groupBy("shingle").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a != z")
     clusters = components(ties.join(leaders, "shingle").select("a", F.col("node").alias("b")).where("a != b").distinct(), "join-clusters")
     dropped(ties)
-    member = nodes.join(clusters.select(F.col("v").alias("node"), F.col("root").alias("cluster")), "node")
+    member = stored(nodes.join(clusters.select(F.col("v").alias("node"), F.col("root").alias("cluster")), "node").select("cluster", "node", "n", "keys", "copies"), "join-members")
     blocks = member.groupBy("cluster").agg(F.ceil(F.sum(F.octet_length("keys") + 64) / BLOCK_BYTES).cast("int").alias("blocks"))
     dealt = (
         member.join(blocks, "cluster")
         .withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "keys")
+        .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "keys", "copies")
     )
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), rows in packed.grouped(packed.rows_of(batches), 3):
-            block = np.array([r[3] for r in rows])
-            if len(rows) < 2 or i != j and (block == block[0]).all():  # links inside a block are found by the block with itself
-                continue
-            nodes = pa.array([r[4] for r in rows], pa.binary())
-            for a, b, joins in search(np.array([r[5] for r in rows]), [np.frombuffer(r[6], np.uint64) for r in rows], block, percent):
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b)), pa.array(joins)], names=["a", "b", "joins"])
-
-    links = stored(dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(lean(linked), "a binary, b binary, joins boolean"), "join-links")
-    roots = components(links.where("joins"), "join-components").select(F.col("v").alias("node"), "root")
-    rooted = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
-    alone = found.where("node is null").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id"))
+    def linked(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (_, i, j), rows in packed.grouped(packed.rows_of(batches), 3):
+                block = np.array([r[3] for r in rows])
+                if len(rows) < 2 or i != j and (block == block[0]).all():  # links inside a block are found by the block with itself
+                    continue
+                nodes, copies = pa.array([r[4] for r in rows], pa.binary()), np.array([r[7] for r in rows])
+                count = np.zeros(len(rows), np.int64)
+                for a, b, joins in search(np.array([r[5] for r in rows]), [np.frombuffer(r[6], np.uint64) for r in rows], block, percent):
+                    if whole:
+                        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b))], names=["a", "b"])
+                        continue
+                    np.add.at(count, a, copies[b])
+                    np.add.at(count, b, copies[a])
+                    a, b = a[joins], b[joins]
+                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(a)), nodes.take(pa.array(b)), pa.nulls(len(a), pa.int64())], names=["a", "b", "links"])
+                if not whole:
+                    own = np.flatnonzero(count)
+                    yield pa.RecordBatch.from_arrays([nodes.take(pa.array(own)), pa.nulls(len(own), pa.binary()), pa.array(count[own])], names=["a", "b", "links"])
+
+        schema = "a binary, b binary" if whole else "a binary, b binary, links long"
+        return dealt.repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node").mapInArrow(lean(run), schema)
+
+    sums = stored(linked(False), "join-links")
+    roots = components(sums.where("b is not null").select("a", "b"), "join-components").select(F.col("v").alias("node"), "root")
+    counts = sums.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    rooted = nodes.select("node", "least", "copies").join(roots, "node", "left").join(counts, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    least = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id", "n_links")
+    alone = found.where("node is null").select("doc_id", "n_shingles", "node", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     # a hot set may hold many rows: its rows are dealt out by the engine's own handling of skewed joins
-    tied = found.where("node is not null").select("doc_id", "n_shingles", "node").join(least, "node").select("doc_id", "n_shingles", "node", "component_id")
-    return alone.unionByName(tied), links.select("a", "b")
+    tied = found.where("node is not null").select("doc_id", "n_shingles", "node").join(least, "node").select(alone.columns)
+    return alone.unionByName(tied), lambda: linked(True)

@@ -12,8 +12,8 @@ from corpusloom.llm import ann, html_extraction, lm_scoring, mixing, ngram_join,
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the size of its shingle set and the least doc_id it is linked with."""
-    return ngram_join.join(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+    """Every document with the size of its shingle set, the least doc_id it is linked with, and its number of links."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
