@@ -5,20 +5,24 @@ source, then of each language, then of each topic, over and over until all three
 the probability of its cell, calibrated so that the expected tokens of the cells are in proportion to the raked weights and
 add up to the wanted share of all tokens; no probability exceeds 1, what a full cell can't give is spread over the others.
 
-Only the table of cells is raked: one row per cell, summed before the shuffle. Up to MAX_CELLS cells go through the driver as
-numbers; a larger table is raked by window sums over the stored table. The documents themselves are never shuffled: cells are
-joined by broadcast up to MAX_CELLS, else by the engine's own choice.
+Only the table of cells is raked: one row per cell, summed before the shuffle. Up to MAX_CELLS cells are numbers in the driver;
+a larger table stays where it is, and each step of the same loop is one aggregation over it. Rounds, tolerance and calibration
+are the same, so the size changes where sums are made and nothing else. The documents themselves are never shuffled: cells
+are joined by broadcast up to MAX_CELLS, else by the engine's own choice.
 
 Topics are a coarse genre by rules over the whole text (`topic`); any other column can be given. Nulls in source or language
 form a cell of their own named "". Empty texts have no tokens; a cell without tokens takes part with probability 1.
-Repeated rows draw the same number and so share their fate. An empty table gives an empty result. Clashing column names do
+Repeated rows draw the same number and so share their fate; ties with a probability are not drawn. Very long texts count
+whole. An empty table gives an empty result. Clashing column names do
 not matter: only doc_id, text, source and lang are read. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import stored, whole_text
@@ -53,65 +57,85 @@ def described(docs: DataFrame, carry: Column | None = None) -> DataFrame:
     )
 
 
-def targets(cells: DataFrame, axis: str, flatten: float = FLATTEN) -> DataFrame:
-    """(axis, target): present shares of tokens, flattened."""
-    shares = cells.groupBy(axis).agg(F.sum("tokens").alias("t")).where("t > 0")
-    return shares.select(axis, (F.pow("t", F.lit(flatten)) / F.sum(F.pow("t", F.lit(flatten))).over(Window.partitionBy())).alias("target"))
+def targets(cells: DataFrame, axis: str, flatten: float = FLATTEN) -> dict[str, float]:
+    """Wanted shares by category: present shares of tokens, flattened. An axis has as many as it has categories with tokens."""
+    tokens = {r[axis]: float(r["t"]) ** flatten for r in cells.groupBy(axis).agg(F.sum("tokens").alias("t")).where("t > 0").collect()}
+    whole = math.fsum(tokens.values())
+    return {k: x / whole for k, x in sorted(tokens.items())}
+
+
+class Numbers:
+    """Cells as arrays in the driver: keys by axis, and tokens."""
+
+    def __init__(self, keys: list[list[str]], tokens: np.ndarray):
+        self.tokens, self.codes = tokens, [np.unique(k, return_inverse=True) for k in keys]
+        self.weight = tokens / tokens.sum() if len(tokens) else tokens
+
+    def shares(self, axis: int) -> dict[str, float]:
+        names, code = self.codes[axis]
+        return dict(zip(names.tolist(), np.bincount(code, weights=self.weight, minlength=len(names)).tolist(), strict=True))
+
+    def scale(self, axis: int, factors: dict[str, float]) -> None:
+        names, code = self.codes[axis]
+        self.weight = self.weight * np.array([factors[n] for n in names.tolist()])[code]
+
+    def beyond(self, factor: float) -> tuple[float, float]:
+        """Weight of the cells that this factor does not fill, and tokens of those it does."""
+        full = factor * self.weight >= self.tokens
+        return float(self.weight[~full].sum()), float(self.tokens[full].sum())
+
 
+class Table:
+    """Cells as a stored table; a weight is the tokens' share times one factor for each category of the three axes, which the
+    driver holds."""
 
-def raked_numbers(keys: list[list[str]], tokens: np.ndarray, wanted: list[dict[str, float]], rounds: int = ROUNDS) -> np.ndarray:
-    """Raked weights of cells (they sum to 1), from their tokens. keys and wanted: for each axis."""
-    w = tokens / tokens.sum()
-    codes = [np.unique(k, return_inverse=True) for k in keys]
-    goal = [np.array([t.get(name, 0.0) for name in names]) for (names, _), t in zip(codes, wanted, strict=True)]
+    def __init__(self, cells: DataFrame):
+        self.cells = cells.where("tokens > 0")
+        self.whole = self.cells.agg(F.sum("tokens")).first()[0] or 0
+        self.factors: list[dict[str, float]] = [{} for _ in AXES]
+
+    def weighed(self) -> DataFrame:
+        out = self.cells.withColumn("weight", F.col("tokens") / F.lit(float(self.whole)))
+        for axis, factors in zip(AXES, self.factors, strict=True):
+            if factors:
+                own = self.cells.sparkSession.createDataFrame(list(factors.items()), f"{axis} string, factor double")
+                out = out.join(own, axis).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+        return out
+
+    def shares(self, axis: int) -> dict[str, float]:
+        return {r[0]: r[1] for r in self.weighed().groupBy(AXES[axis]).agg(F.sum("weight")).collect()}
+
+    def scale(self, axis: int, factors: dict[str, float]) -> None:
+        self.factors[axis] = {k: self.factors[axis].get(k, 1.0) * x for k, x in factors.items()}
+
+    def beyond(self, factor: float) -> tuple[float, float]:
+        full = F.lit(factor) * F.col("weight") >= F.col("tokens")
+        row = self.weighed().agg(F.sum(F.when(~full, F.col("weight"))), F.sum(F.when(full, F.col("tokens")))).first()
+        return float(row[0] or 0), float(row[1] or 0)
+
+
+def raked(cells: Numbers | Table, wanted: list[dict[str, float]], rounds: int = ROUNDS) -> None:
+    """Scales the weights until all marginals are as wanted, within TOLERANCE."""
     for _ in range(rounds):
         worst = 0.0
-        for (names, code), g in zip(codes, goal, strict=True):
-            have = np.bincount(code, weights=w, minlength=len(names))
-            worst = max(worst, float(np.abs(have - g).max()))
-            w = w * np.divide(g, have, out=np.zeros_like(g), where=have > 0)[code]
+        for axis, goal in enumerate(wanted):
+            have = cells.shares(axis)
+            worst = max([worst, *(abs(have[k] - goal.get(k, 0.0)) for k in have)])
+            cells.scale(axis, {k: goal.get(k, 0.0) / x if x > 0 else 0.0 for k, x in have.items()})
         if worst < TOLERANCE:
             break
-    return w
-
-
-def raked_table(cells: DataFrame, flatten: float = FLATTEN, rounds: int = 30) -> DataFrame:
-    """The same by window sums, for tables of cells that are too large for the driver."""
-    out = cells.withColumn("weight", F.col("tokens") / F.sum("tokens").over(Window.partitionBy()))
-    for axis in AXES:
-        out = out.join(targets(cells, axis, flatten).withColumnRenamed("target", f"target_{axis}"), axis)
-    for r in range(rounds):
-        for axis in AXES:
-            out = out.withColumn("weight", F.col("weight") * F.col(f"target_{axis}") / F.sum("weight").over(Window.partitionBy(axis)))
-        if r % 3 == 2:
-            out = stored(out, "raked")
-    return out.select(*AXES, "tokens", "weight")
-
-
-def calibrated(tokens: np.ndarray, weight: np.ndarray, keep: float = KEEP) -> np.ndarray:
-    """Probabilities of cells: in proportion to weight / tokens, at most 1, for `keep` of all tokens in expectation."""
-    p = np.ones(len(tokens))
-    open_, left = (tokens > 0) & (weight > 0), keep * tokens.sum()
-    while open_.any():
-        factor = left / weight[open_].sum()
-        p[open_] = factor * weight[open_] / tokens[open_]
-        full = open_ & (p >= 1)
-        if not full.any():
-            break
-        p[full] = 1.0
-        left -= tokens[full].sum()
-        open_ &= ~full
-    return np.clip(p, 0, 1)
 
 
-def _calibrated_table(raked: DataFrame, keep: float) -> DataFrame:
-    """The same over the stored table: cells in order of weight per token are full up to the first that is not."""
-    order = Window.orderBy(F.desc("rate"), *AXES)
-    total = raked.agg(F.sum("tokens"), F.sum("weight")).first()
-    out = raked.withColumn("rate", F.col("weight") / F.col("tokens"))
-    out = out.withColumn("factor", (F.lit(keep * total[0]) - F.sum("tokens").over(order) + F.col("tokens")) / (F.lit(total[1]) - F.sum("weight").over(order) + F.col("weight")))
-    factor = out.where("factor * rate < 1").agg(F.max_by("factor", "rate")).first()[0] or 0.0
-    return out.select(*AXES, "weight", F.least(F.lit(1.0), F.col("rate") * factor).alias("probability"))
+def calibrated(cells: Numbers | Table, whole: float, keep: float = KEEP) -> float:
+    """The factor with which probabilities min(1, factor * weight / tokens) keep this share of all tokens in expectation. What
+    full cells can't give is spread over the others, until no more are filled."""
+    factor = 0.0
+    while True:
+        weight, filled = cells.beyond(factor)
+        new = (keep * whole - filled) / weight if weight > 0 else factor
+        if new <= factor * (1 + 1e-15):
+            return factor
+        factor = new
 
 
 def mix(docs: DataFrame, flatten: float = FLATTEN, keep: float = KEEP, max_cells: int = MAX_CELLS, carry: Column | None = None) -> DataFrame:
@@ -120,15 +144,22 @@ def mix(docs: DataFrame, flatten: float = FLATTEN, keep: float = KEEP, max_cells
     rows = described(docs, carry)
     cells = stored(rows.groupBy(*AXES).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")), "mixing-cells")
     schema = "source string, lang string, topic string, weight double, probability double"
-    if cells.count() <= max_cells:
+    wanted = [targets(cells, axis, flatten) for axis in AXES]
+    small = cells.count() <= max_cells
+    if small:
         found = cells.where("tokens > 0").orderBy(*AXES).collect()
-        tokens = np.array([r["tokens"] for r in found], float)
-        wanted = [{r[axis]: r["target"] for r in targets(cells, axis, flatten).collect()} for axis in AXES]
-        weight = raked_numbers([[r[a] for r in found] for a in AXES], tokens, wanted) if len(found) else tokens
-        p = calibrated(tokens, weight, keep)
-        chances = F.broadcast(spark.createDataFrame([(r["source"], r["lang"], r["topic"], float(w), float(q)) for r, w, q in zip(found, weight, p, strict=True)], schema))
+        table = Numbers([[r[a] for r in found] for a in AXES], np.array([r["tokens"] for r in found], float))
+        whole = float(table.tokens.sum())
+    else:
+        table = Table(cells)
+        whole = float(table.whole)
+    raked(table, wanted)
+    factor = calibrated(table, whole, keep)
+    if small:
+        p = np.minimum(1.0, factor * table.weight / table.tokens)
+        chances = F.broadcast(spark.createDataFrame([(r["source"], r["lang"], r["topic"], float(w), float(q)) for r, w, q in zip(found, table.weight, p, strict=True)], schema))
     else:
-        chances = stored(_calibrated_table(raked_table(cells.where("tokens > 0"), flatten), keep), "mixing-chances")
+        chances = stored(table.weighed().select(*AXES, "weight", F.least(F.lit(1.0), F.lit(factor) * F.col("weight") / F.col("tokens")).alias("probability")), "mixing-chances")
     out = rows.join(chances, list(AXES), "left")
     p = F.coalesce("probability", F.lit(1.0))
     return out.select("doc_id", *AXES, "tokens", F.coalesce("weight", F.lit(0.0)).alias("weight"), p.alias("probability"), "draw", (F.col("draw") < p).alias("sampled"))
