@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by multi-index hashing of learned binary codes (Norouzi, Punjani and Fleet, 2012).
 
-A rotation is learned by iterative quantization (Gong and Lazebnik, 2011) on at most SAMPLE vectors, and a code is the signs
+A rotation is learned by iterative quantization (Gong and Lazebnik, 2011) on about SAMPLE vectors drawn by a hash, and a code is the signs
 of the rotated, centred vector. Codes are cut into substrings of BITS bits, each with an index of its own. Two codes within
 Hamming radius r agree within floor(r / substrings) bits in at least one substring, so probing the neighbourhood of each
 substring of a query finds every code within r; these are then ranked by the exact distance of the floats. The radius is the
@@ -12,7 +12,9 @@ blocks of QUERY_BLOCK, and the nearest of the blocks are merged by query. Every
 Vectors that are null, zero, empty, or hold a null or a value that is not finite take no part, as query or as candidate; so
 do vectors of another length than the most frequent one, and null ids. Ids given twice: copies of the query's own id are not
 its candidates; of another id, each row counts. With fewer candidates than k all found are returned; if the radius finds
-fewer than k, it is raised for that query until it does. An empty table gives an empty result.
+fewer than k, it is raised for that query until it does. Ties in distance go to the
+smaller id. An empty table gives an empty result. Other columns than vec_id and embedding are not read, so clashing names do
+not matter.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import partitions, stored
 
-BITS, SAMPLE, ROUNDS, RECALL = 8, 8192, 30, 0.97
+BITS, SAMPLE, ROUNDS, RECALL = 8, 8192, 30, 0.94
 #: Vectors of an index block, and queries that go to it at once.
 BLOCK, QUERY_BLOCK = 16_384, 4_096
 
@@ -122,8 +124,10 @@ def search(rows: DataFrame, k: int = 10, every: int = 100, sample: int = SAMPLE,
         return spark.createDataFrame([], schema)
     d, n = width["d"], width["count"]
     vectors = vectors.where(F.size("embedding") == d)
-    fitted = vectors.select("embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    codes = spark.sparkContext.broadcast(learn(np.array([r[0] for r in fitted]), k, recall))
+    hashed = F.pmod(F.xxhash64("vec_id", "embedding", F.lit("sample")), F.lit(1 << 30))
+    drawn = vectors if n <= sample else vectors.where(hashed < int(sample / n * (1 << 30)))  # by a hash, about `sample` where the rows are
+    fitted = sorted((r[0] for r in drawn.select("embedding").collect()))
+    codes = spark.sparkContext.broadcast(learn(np.array(fitted), k, recall))
     queries = vectors.where(F.col("vec_id") % every == 0)
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
 
