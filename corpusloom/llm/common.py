@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -51,9 +52,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where none is set."""
+    """The folder that driver and executors share; a local one of our own only where none is set and all run on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -79,9 +82,12 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Let the context cleaner delete the shuffle files of finished steps, which else stay until the driver's heap fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the context cleaner delete the shuffle files of finished steps, which else stay until the driver's heap fills. It
+    follows the collector at its own pace, so it gets a moment, twice."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -522,9 +522,9 @@ def test_lm_states_sum_to_one_and_failure_arcs_back_off():
     """By hand: words 0 and 1, the end 2; states 1, 2 (words), 4 (beginning), 5 (the pair 0 1)."""
     log = lambda *p: [math.log10(x) for x in p]
     (a, b, e), (ab,), (f1, f2) = log(0.5, 0.25, 0.25), log(0.9), log(0.2, 0.1)
-    m = lm_scoring.Automaton(4, {0: (a, 1), 1: (b, 2), 2: (e, 3), 1 * 4 + 1: (ab, 5), 5 * 4 + 0: (-0.1, 1)}, {1: (f1, 0), 2: (f1, 0), 3: (f1, 0), 4: (f1, 0), 5: (f2, 2)})
-    assert m.walk(4, [0, 1, 0]) == pytest.approx(f1 + a + ab - 0.1)
-    assert m.walk(4, [0, 1, 2]) == pytest.approx(f1 + a + ab + f2 + f1 + e)
+    m = lm_scoring.Automaton(4, ([ab], [5]), ([-0.1], [1]), ([0, f1, f1, f1, f1, f2], [0, 0, 0, 0, 0, 2]), ([a, b, e], [1, 2, 3]))
+    assert m.walk(4, [0, 1, 0], [-1, 0, -1], [-1, -1, 0]) == pytest.approx(f1 + a + ab - 0.1)
+    assert m.walk(4, [0, 1, 2], [-1, 0, -1], [-1, -1, -1]) == pytest.approx(f1 + a + ab + f2 + f1 + e)
 
 
 def test_lm_null_id(spark):
