@@ -2,6 +2,12 @@
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
 docs. All but the last return the columns of documents.
+
+Null and empty texts are clean, link with nothing, have no passages and no tokens but the end id: they pass every stage. Very
+long texts are read whole by each. Rows repeated with id and text are one group to the join, of which one row stays; rows of
+one id and different texts are judged each by its own text, and ties between linked rows go to the least id and, of equal
+ids, to the least hash of the text. A null id is an id like others. Columns beside those of documents are carried along
+through all stages but the last, whatever their names. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that also start elsewhere."""
+    """Documents without the passages that also start elsewhere: strings of 400 bytes, and runs of 50 words."""
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     rows = docs.select(F.struct(*others).alias("doc_id"), "text")
     kept = suffix_dedup.spans(rows, texts=True).select("doc_id.*", F.col("kept_text").alias("text"))
