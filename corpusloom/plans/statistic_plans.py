@@ -232,42 +232,55 @@ def sta_31(spark, sf):
     return spark.sql("select event_type, percentile_disc(0.95) within group (order by k) as p95, percentile_disc(0.5) within group (order by k) as p50 from corpusloom_events group by event_type")
 
 
-def _grouped_design(spark, sf):
-    """Covariate patterns with counts: at most one row per language, band and quality."""
-    rows = units(spark, sf).groupBy("lang", "band", "quality").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("y")).orderBy("lang", "band", "quality").collect()
-    langs, bands = sorted({r["lang"] for r in rows}), sorted({r["band"] for r in rows})
-    x = np.column_stack([np.ones(len(rows)), [r["quality"] for r in rows], FM.dummies([r["lang"] for r in rows], langs), FM.dummies([r["band"] for r in rows], bands)])
-    return x, np.array([r["y"] for r in rows], float), np.array([r["n"] for r in rows], float), ["intercept", "quality", *langs[1:], *bands[1:]]
+def _grouped_design(spark, sf, covariates=("lang", "band")):
+    """Covariate patterns with counts: at most one row for each combination of the covariates and quality."""
+    rows = units(spark, sf).groupBy(*covariates, "quality").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("y")).orderBy(*covariates, "quality").collect()
+    levels = {c: sorted({r[c] for r in rows}) for c in covariates}
+    x = np.column_stack([np.ones(len(rows)), [r["quality"] for r in rows], *(FM.dummies([r[c] for r in rows], levels[c]) for c in covariates)])
+    return x, np.array([r["y"] for r in rows], float), np.array([r["n"] for r in rows], float), ["intercept", "quality", *(v for c in covariates for v in levels[c][1:])]
 
 
 def _fit_rows(spark, names, fit, more=None):
-    return spark.createDataFrame([(n, round(float(b), 6), bool(fit["converged"]), *(more or ())) for n, b in zip(names, fit["beta"], strict=True)], "term string, coefficient double, converged boolean" + (", low double, high double, p double" if more else ""))
+    return spark.createDataFrame([(n, round(float(b), 6), fit.method, *(more or ())) for n, b in zip(names, fit.beta, strict=True)], "term string, coefficient double, method string" + (", low double, high double, p double" if more else ""))
 
 
 @query("sta_32")
 def sta_32(spark, sf):
     x, y, n, _ = _grouped_design(spark, sf)
-    return spark.createDataFrame([(round(FM.penalized_log_likelihood(np.zeros(x.shape[1]), x, y, n), 6),)], "value double")
+    return spark.createDataFrame([(round(FM.Grouped(x, y, n).at(np.zeros(x.shape[1]))[0], 6),)], "value double")
 
 
-def _firth(key):
-    @query(key)
-    def run(spark, sf):
-        x, y, n, names = _grouped_design(spark, sf)
-        return _fit_rows(spark, names, FM.fit_firth(x, y, n))
+@query("sta_33")
+def sta_33(spark, sf):
+    x, y, n, names = _grouped_design(spark, sf)
+    return _fit_rows(spark, names, FM.newton(FM.Grouped(x, y, n)))
 
 
-for _key in ("sta_33", "sta_34", "sta_38"):
-    _firth(_key)
+@query("sta_34")
+def sta_34(spark, sf):
+    """The quasi-Newton steps that take over where Newton's fail."""
+    x, y, n, names = _grouped_design(spark, sf)
+    return _fit_rows(spark, names, FM.lbfgs(FM.Grouped(x, y, n)))
 
 
 @query("sta_35")
 def sta_35(spark, sf):
     x, y, n, names = _grouped_design(spark, sf)
-    fit = FM.fit_firth(x, y, n)
+    fit = FM.firth(x, y, n)
     return _fit_rows(spark, names, fit, [round(v, 6) for v in FM.profile_interval(x, y, fit, 1, n)])
 
 
+@query("sta_38")
+def sta_38(spark, sf):
+    """Controlled probabilities for several sets of covariates."""
+    out = []
+    for covariates in ((), ("lang",), ("band",), ("lang", "band"), ("source", "band")):
+        x, y, n, _ = _grouped_design(spark, sf, covariates)
+        found = FM.controlled(x, y, n)
+        out.append(("+".join(covariates) or "none", int(n.sum()), x.shape[1], *(round(v, 6) for v in found.values())))
+    return spark.createDataFrame(out, "covariates string, analysis_n long, parameters_n long, untreated double, treated double, difference double, log_odds double")
+
+
 @query("sta_36", "with {units} select doc_id, (lang = 'en')::int::double as lang_en, (lang = 'fr')::int::double as lang_fr, (band = 'medium')::int::double as medium from units")
 def sta_36(spark, sf):
     return units(spark, sf).select("doc_id", *[F.expr(f"cast({c} as double)").alias(n) for c, n in (("lang = 'en'", "lang_en"), ("lang = 'fr'", "lang_fr"), ("band = 'medium'", "medium"))])
@@ -290,24 +303,41 @@ _cmh("sta_37")
 REPLICATES = 999
 
 
-@query("sta_39")
-def sta_39(spark, sf):
+def _bootstrapped(spark, x, y, n):
     """Risk difference by g-computation, with bootstrap replicates as tasks over the grouped design. Rows are drawn within
-    each treatment; a replicate whose fit does not converge is counted as a failure."""
-    x, y, n, _ = _grouped_design(spark, sf)
+    each treatment; replicates by the fallback and failures are counted."""
 
     def replicate(frames):
         import pandas as pd
 
         for frame in frames:
-            out = []
+            values, fallbacks = [], []
             for i in frame["id"]:
                 design, draw, drawn = FM.resampled(x, y, n, np.random.default_rng(20260815 + int(i)))
-                fit = FM.fit_firth(design, draw, drawn)
-                out.append(FM.risk_difference(design, drawn, fit["beta"]) if fit["converged"] else None)
-            yield pd.DataFrame({"value": pd.array(out, "Float64")})
-
-    boots = spark.range(0, REPLICATES, 1, 4).mapInPandas(replicate, "value double")
+                try:
+                    fit = FM.firth(design, draw, drawn)
+                except FM.FitError:
+                    fit = None
+                values.append(FM.risk_difference(design, drawn, fit.beta) if fit else None)
+                fallbacks.append(bool(fit and fit.method != "newton"))
+            yield pd.DataFrame({"value": pd.array(values, "Float64"), "fallback": fallbacks})
+
+    boots = spark.range(0, REPLICATES, 1, 4).mapInPandas(replicate, "value double, fallback boolean")
     ends = [F.round(F.percentile("value", F.lit(q)), 6).alias(name) for q, name in ((0.025, "low"), (0.975, "high"))]
-    estimate = FM.risk_difference(x, n, FM.fit_firth(x, y, n)["beta"])
-    return boots.agg(*ends, F.count("value").alias("successful"), F.count_if(F.col("value").isNull()).alias("failures")).withColumn("estimate", F.lit(round(estimate, 6)))
+    estimate = FM.risk_difference(x, n, FM.firth(x, y, n).beta)
+    return boots.agg(*ends, F.count("value").alias("successful"), F.count_if(F.col("value").isNull()).alias("failures"), F.count_if("fallback").alias("fallbacks")).withColumn("estimate", F.lit(round(estimate, 6)))
+
+
+@query("sta_37_model")
+def sta_37_model(spark, sf):
+    """Beside the common odds ratio of sta_37: the controlled risk difference by source and length, with its bootstrap."""
+    x, y, n, _ = _grouped_design(spark, sf, ("source", "band"))
+    fit = FM.firth(x, y, n)
+    low, high, p = (round(v, 6) for v in FM.profile_interval(x, y, fit, 1, n))
+    return _bootstrapped(spark, x, y, n).select("*", F.lit(round(float(fit.beta[1]), 6)).alias("log_odds"), F.lit(low).alias("profile_low"), F.lit(high).alias("profile_high"), F.lit(p).alias("profile_p"))
+
+
+@query("sta_39")
+def sta_39(spark, sf):
+    x, y, n, _ = _grouped_design(spark, sf)
+    return _bootstrapped(spark, x, y, n)

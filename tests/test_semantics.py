@@ -150,10 +150,11 @@ def test_bh(spark):
 def test_firth_separated():
     """Finite estimates under complete separation, symmetric by construction."""
     x = np.array([[1.0, 0.0], [1.0, 1.0]])
-    fit = models.fit_firth(x, np.array([0.0, 10.0]), np.array([10.0, 10.0]))
-    assert fit["converged"] and round(fit["beta"][1] + 2 * fit["beta"][0], 6) == 0
-    assert round(fit["beta"][0], 5) == round(math.log(0.5 / 10.5), 5)
-    low, high, p = models.profile_interval(x, np.array([3.0, 7.0]), models.fit_firth(x, np.array([3.0, 7.0]), np.array([10.0, 10.0])), 1, np.array([10.0, 10.0]))
+    ten = np.array([10.0, 10.0])
+    for climb in (models.newton, models.lbfgs):
+        fit = climb(models.Grouped(x, np.array([0.0, 10.0]), ten))
+        assert round(fit.beta[1] + 2 * fit.beta[0], 5) == 0 and round(fit.beta[0], 5) == round(math.log(0.5 / 10.5), 5)
+    low, high, p = models.profile_interval(x, np.array([3.0, 7.0]), models.firth(x, np.array([3.0, 7.0]), ten), 1, ten)
     assert low < 1.6 < high and 0.05 < p < 0.2
 
 
@@ -187,6 +188,30 @@ def test_guarded_sink(spark):
         records.guarded(spark.createDataFrame([("x",)], "text string"))
 
 
+def test_firth_gradient_and_failures():
+    from corpusloom.operators import models
+
+    rng = np.random.default_rng(3)
+    x = np.column_stack([np.ones(12), rng.integers(0, 2, 12), rng.normal(size=12)])
+    n = rng.integers(1, 9, 12).astype(float)
+    design = models.Grouped(x, np.floor(n * rng.random(12)), n)
+    beta = np.array([0.2, -0.4, 0.7])
+    for j in range(3):
+        e = np.eye(3)[j] * 1e-6
+        assert design.at(beta)[1][j] == pytest.approx((design.at(beta + e)[0] - design.at(beta - e)[0]) / 2e-6, rel=1e-5)
+    a, b = models.newton(design), models.lbfgs(design)
+    assert a.beta == pytest.approx(b.beta, abs=1e-5) and models.newton(models.Grouped(x, design.y, n, {1: 0.3})).beta[1] == 0.3
+    twice = models.Grouped(x[:, [0, 1, 1]], design.y, n)
+    for climb in (models.newton, models.lbfgs):
+        with pytest.raises(models.FitError):
+            climb(twice)
+    with pytest.raises(models.FitError):
+        models.newton(design, rounds=1)
+    with pytest.raises(models.FitError):
+        models.Grouped(np.full((2, 1), np.nan), n[:2], n[:2])
+    assert all(math.isnan(v) for v in models.controlled(x, n, n).values()) and all(math.isnan(v) for v in models.controlled(x[:3], n[:3] * 0 + 1, n[:3] * 0 + 2).values())
+
+
 def test_bootstrap_draws_rows_within_treatment_999_times(spark):
     import numpy as np
 
