@@ -87,10 +87,10 @@ def prv_8(spark, sf):
     return _masked(spark, sf).select("doc_id", sha256(U.apply_lenient_spans("text", "mixed")["text"]).alias("h"))
 
 
-@query("prv_9", "select user_id, event_type, case when event_id % 7 = 0 then 'yes' else 'no' end as decision, event_id % 7 = 0 or event_type in (select event_type from events where event_id % 11 = 0 and user_id % 5 = 0) as authorized from events where event_id < 500")
+@query("prv_9", "select user_id, event_type, case when event_id % 7 = 0 then 'yes' else 'no' end as decision, event_id % 7 = 0 or event_type in (select event_type from events where event_id % 11 = 0 and user_id % 5 = 0) as authorized from events")
 def prv_9(spark, sf):
     e = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    c = e.where("event_id < 500").select("user_id", "event_type", F.when(F.col("event_id") % 7 == 0, "yes").otherwise("no").alias("decision"))
+    c = e.select("user_id", "event_type", F.when(F.col("event_id") % 7 == 0, "yes").otherwise("no").alias("decision"))
     d = e.where("event_id % 11 = 0 and user_id % 5 = 0").select("event_type", F.lit("yes").alias("decision"))
     return P.authorized(c, d, ["event_type"], P.is_accepted(F.col("decision"))).select("user_id", "event_type", "decision", "authorized")
 

@@ -71,23 +71,23 @@ def src_13(spark, sf):
 
 
 def _sample(spark, sf):
-    return records(spark, sf).select("doc_id", "lang", "source", "n_chars").where("doc_id < 500")
+    return records(spark, sf).select("doc_id", "lang", "source", "n_chars")
 
 
-@query("src_16", "select doc_id, lang, source, n_chars from documents where doc_id < 500")
+@query("src_16", "select doc_id, lang, source, n_chars from documents")
 def src_16(spark, sf):
     RC.write_jsonl(_sample(spark, sf), path := scratch(spark))
     return spark.read.schema("doc_id long, lang string, source string, n_chars long").json(path)
 
 
-@query("src_17", "select cast(doc_id as varchar) as doc_id, lang from documents where doc_id < 500")
+@query("src_17", "select cast(doc_id as varchar) as doc_id, lang from documents")
 def src_17(spark, sf):
     RC.write_csv(_sample(spark, sf), path := scratch(spark), ["doc_id", "lang"])
     return RC.read_csv(spark, path)
 
 
 def _jsonl(key):
-    @query(key, "select doc_id, source from documents where doc_id < 500")
+    @query(key, "select doc_id, source from documents")
     def run(spark, sf):
         RC.write_jsonl(_sample(spark, sf), path := scratch(spark))
         return RC.read_jsonl(spark, path, "doc_id long, source string")
@@ -97,7 +97,7 @@ for _key in ("src_18", "src_19", "src_26"):
     _jsonl(_key)
 
 
-@query("src_20", "select cast(doc_id as varchar) as doc_id, lang, source, cast(n_chars as varchar) as n_chars from documents where doc_id < 500")
+@query("src_20", "select cast(doc_id as varchar) as doc_id, lang, source, cast(n_chars as varchar) as n_chars from documents")
 def src_20(spark, sf):
     RC.write_csv(_sample(spark, sf), path := scratch(spark), ["doc_id", "lang", "source", "n_chars"])
     return RC.read_csv(spark, path)
@@ -118,13 +118,14 @@ query("src_23", "select doc_id, lang from documents where source in ('src0', 'sr
 query("src_24", "select * from (values ('titles'), ('queue'), ('runs')) t(name)")(lambda spark, sf: spark.createDataFrame([(n,) for n in ("titles", "queue", "runs")], "name string"))
 
 
-@query("src_25", "select 1000::bigint as rows_written")
+@query("src_25", "select count(*) as rows_written, sum(n_chars)::bigint as n_chars from documents")
 def src_25(spark, sf):
-    spark.range(1000).write.json(path := scratch(spark))
-    return spark.read.schema("id long").json(path).agg(F.count(F.lit(1)).alias("rows_written"))
+    """Written under another name, then moved: a reader finds the whole table or none."""
+    RC.write_atomically(_sample(spark, sf), path := scratch(spark))
+    return spark.read.schema("n_chars long").json(path).agg(F.count(F.lit(1)).alias("rows_written"), F.sum("n_chars").alias("n_chars"))
 
 
-@query("src_27", "select cast(doc_id as varchar) as doc_id, source from documents where doc_id < 500")
+@query("src_27", "select cast(doc_id as varchar) as doc_id, source from documents")
 def src_27(spark, sf):
     RC.write_csv(_sample(spark, sf), path := scratch(spark), ["doc_id", "source"])
     return RC.read_csv(spark, path)

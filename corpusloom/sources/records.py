@@ -42,6 +42,18 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path, ignoreNullFields=False)
 
 
+def write_atomically(df: DataFrame, path: str, mode: str = "700") -> None:
+    """JSON lines below path, which appears by one rename when all is written, readable by its owner only."""
+    spark = df.sparkSession
+    jvm = spark._jvm
+    draft, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.draft", path))
+    df.write.json(f"{path}.draft")
+    files = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.setPermission(draft, jvm.org.apache.hadoop.fs.permission.FsPermission(mode))
+    if not files.rename(draft, target):
+        raise OSError(f"{path} could not be put in place")
+
+
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Fixed order of columns. The committer makes the folder appear whole or not at all."""
     df.select(*columns).write.mode("overwrite").csv(path, header=True, escape='"')
