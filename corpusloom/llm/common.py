@@ -14,14 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows and bytes of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1024"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16777216")}
+#: Rows and bytes of an Arrow batch, and rows that the Parquet reader holds: texts are long, and buffers of their size stay
+#: with the JVM's threads. Each with Spark's defaults.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("256", ("10000",)),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("4194304", ("67108864b", "67108864", "64MB")),
+    "spark.sql.parquet.columnarReaderBatchSize": ("512", ("4096",)),
+}
 
 
 def small_batches(spark: SparkSession) -> None:
     """Batches for long texts, where the session has Spark's defaults."""
-    for key, (default, own) in BATCH.items():
-        if spark.conf.get(key, default) in (default, "67108864", "64MB"):
+    for key, (own, defaults) in BATCH.items():
+        if spark.conf.get(key, defaults[0]) in defaults:
             spark.conf.set(key, own)
 
 

@@ -338,7 +338,7 @@ def encode(docs: DataFrame, model_path: str, add_eos: bool = True) -> DataFrame:
                     ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                     yield pa.RecordBatch.from_arrays([part.column(0), ids, m.decode_batch(flat, offsets)], names=["doc_id", "ids", "decoded"])
         finally:
-            m.old = {}  # workers live on for other tasks
+            m.young, m.old = {}, {}  # workers live on for other tasks
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(lean(run), f"doc_id {kind}, ids array<int>, decoded string")

@@ -20,7 +20,7 @@ from corpusloom.llm.common import lean, stored, whole_text
 from corpusloom.llm.packed import expand, squeeze
 
 #: UTF-8 bytes of text after which a chunk is closed.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 3_000_000
 
 
 def tokens(data: bytes) -> list[bytes]:
