@@ -216,7 +216,6 @@ _rules = {
     "con_3": ("array:positions", "i = 4"),
     "con_4": ("exclusive:positions", "i = 3"),
     "con_5": ("nonvalid_block", "i = 6"),
-    "con_7": ("stage:one", "false"),
 }
 
 
@@ -229,18 +228,6 @@ for _key, (_rule, _sql) in _rules.items():
     query(_key, EXPECTED.replace("{c}", f"{_sql} as violated"))(lambda spark, sf, r=_rule: _validated(spark, sf).select("doc_id", F.array_contains("violations", r).alias("violated")))
 
 
-def _fields(key, columns):
-    query(key, "with {units} select doc_id, " + ", ".join(f"{sql} as {n}" for n, sql in columns.items()) + " from units")(lambda spark, sf: units(spark, sf).select("doc_id", *[F.expr(sql).alias(n) for n, sql in columns.items()]))
-
-
-_fields("con_6", {"person_ok": "case when toxic = 1 then quality in (0, 1) else quality is not null end", "applicable": "quality = 1 or toxic = 1"})
-_fields("con_8", {"control_ok": "not (toxic = 1 and band = 'short') or quality = 1"})
-_fields("con_9", {"chain_ok": "(quality = 1 or toxic = 0) and (toxic = 0 or n_chars > 0)", "stages": "cast((quality = 1) as int) + cast((toxic = 1) as int) + cast((n_chars > 500) as int)"})
-_fields("con_24", {"item_ok": "doc_id >= 0 and (quality = 1 or toxic = 0 or band <> 'short')"})
-_fields("con_28", {"complete": "quality is not null and toxic is not null", "needs_note": "toxic = 1 or quality = 0"})
-_fields("con_29", {"cross_ok": "case when quality = 0 then toxic = 0 else true end"})
-
-
 @query("con_10", EXPECTED.replace("{c}", "(2 * quality + (case when i = 2 then 0 else 1 end) + (case when i = 3 or i = 4 then 2 else 1 end) + quality)::int as needed"))
 def con_10(spark, sf):
     v = annotations(spark, sf).withColumn("r", F.from_json("raw", CODEBOOK.schema()))
