@@ -67,6 +67,20 @@ def bracket_spans(styles: Sequence[str] = tuple(BRACKETS)) -> Callable[[Column],
     return run
 
 
+def nested_spans(styles: Sequence[str] = tuple(BRACKETS)) -> Callable[[Column], Column]:
+    """struct(spans, crossing): bracket spans that lie in no other one; none where two cross."""
+
+    @F.pandas_udf(f"spans {SPAN}, crossing boolean")
+    def run(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in s:
+            kept, crossing = outer_spans(innermost_spans(t or "", styles))
+            rows.append(([dict(zip(("start", "end", "style", "content"), x, strict=True)) for x in kept], crossing))
+        return pd.DataFrame(rows, columns=["spans", "crossing"])
+
+    return run
+
+
 def bracket_cleaning(category: Callable[[str], str], keep: str = "content_descriptor", styles: Sequence[str] = tuple(BRACKETS)) -> Callable[[Column], Column]:
     """struct(cleaned, kept, removed, skipped): bracket spans removed by category of their content, one category kept."""
 

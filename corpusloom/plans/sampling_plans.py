@@ -91,10 +91,36 @@ def _waves(key, sizes):
         return SP.waves(df, ["source", "band"], [*own, n - sum(own)], 7, "doc_id").select("doc_id", "wave", "cell_rank", r9(F.col("pi")).alias("pi"), r9(F.col("weight")).alias("weight"))
 
 
-for _key, _sizes in (("smp_8", (60, 90)), ("smp_11", (100, 200)), ("smp_21", (70,)), ("smp_22", (40, 80, 120))):
+for _key, _sizes in (("smp_8", (60, 90)), ("smp_21", (70,))):
     _waves(_key, _sizes)
 
 
+def _drawn(spark, sf, sizes, seed, exhaust):
+    """Waves of the given shares of the frame, in percent."""
+    df = records(spark, sf).select("doc_id", "source", "band")
+    n = df.count()
+    counts = [n * s // 100 for s in sizes]
+    return df, SP.waves(df, ["source", "band"], [*counts, n - sum(counts)] if exhaust else counts, seed, "doc_id", exhaust)
+
+
+@query("smp_11")
+def smp_11(spark, sf):
+    """Margins of two cumulative waves of 20 % and 50 %; the weights of each row are held by their sums."""
+    df, drawn = _drawn(spark, sf, (20, 30), 7, False)
+    sums = SP.wave_weights(drawn, df, ["source", "band"], 2).agg(F.sum("weight_1").alias("w1"), F.sum("weight_2").alias("w2"))
+    margins = SP.wave_margins(drawn, df, ["source", "band"], 2)
+    return margins.join(F.broadcast(sums)).select("wave", "drawn", "empty_cells", r9(F.col("effective")).alias("effective"), r9(F.col("margin")).alias("margin"), F.round(F.when(F.col("wave") == 1, F.col("w1")).otherwise(F.col("w2")), 6).alias("weights"))
+
+
+@query("smp_22", f"select count(*) as n, count(distinct i) as indexes, max(i) as last, count(distinct batch) as batches, true as in_order from (select doc_id, row_number() over (order by doc_id) as i, (row_number() over (order by doc_id) - 1) // 20 as batch from documents)")
+def smp_22(spark, sf):
+    """Three waves that use up the frame, dispatched in batches of 20: numbers without a gap, waves one after the other."""
+    out = SP.dispatched(_drawn(spark, sf, (10, 30), 7, True)[1], 7, "doc_id")
+    by = out.groupBy("wave").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dispatch_index").alias("k"), F.min("dispatch_index").alias("a"), F.max("dispatch_index").alias("b"), F.collect_set("batch_id").alias("batches"))
+    follows = F.bool_and(F.col("b") - F.col("a") + 1 == F.col("n"))
+    return by.agg(F.sum("n").alias("n"), F.sum("k").alias("indexes"), F.max("b").alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("batches")))).cast("long").alias("batches"), follows.alias("in_order"))
+
+
 @query("smp_9", f"with {{records}}, e as (select distinct source from records where doc_id < 3), f as (select doc_id, source, band, count(*) over (partition by source, band) as cell_n from records where source not in (select source from e)) select doc_id, cell_n, round(1.0 / cell_n, 9) as pi from f".replace("1.0 /", "1::double /"))
 def smp_9(spark, sf):
     df = records(spark, sf).select("doc_id", "source", "band")

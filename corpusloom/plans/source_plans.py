@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import tempfile
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusloom.plans.base import events, query, r9, records, table
+from corpusloom.session import shared_dir
 from corpusloom.sources import pages as PG
 from corpusloom.sources import records as RC
 from corpusloom.streaming import incremental as ST
@@ -19,11 +20,7 @@ PAGE = r"coalesce(nullif(regexp_extract(url, '/page/(\d+)', 1), ''), nullif(rege
 
 
 def scratch(spark) -> str:
-    """A folder below the shared one; a local one only where none is set."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-    return f"{base}/sources-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
 
 
 def _pages(spark, sf):

@@ -120,8 +120,19 @@ def _bracket_query(styles):
     return run
 
 
-for _key in ("str_11", "str_12"):
-    query(_key)(_bracket_query(tuple(U.BRACKETS)))
+query("str_12")(_bracket_query(tuple(U.BRACKETS)))
+
+
+@query("str_11", "select doc_id, 2 as outer_spans, false as crossing, '[ab(c)]' as first from documents where doc_id % 3 = 0 union all select doc_id, 0, true, null from documents where doc_id % 3 = 1 union all select doc_id, 1, false, '(d)' from documents where doc_id % 3 = 2")
+def str_11(spark, sf):
+    """Spans inside another one go, and spans that cross leave none: on three planted texts, one by the id's remainder."""
+    i = F.col("doc_id") % 3
+    text = F.when(i == 0, "x [ab(c)] (d)").when(i == 1, "x [a(b]c) d").otherwise("x (d) y")
+    r = table(spark, sf, "documents").select("doc_id", text.alias("t")).select("doc_id", "t", U.nested_spans()(F.col("t")).alias("r"))
+    first = F.get("r.spans", F.lit(0))
+    return r.select("doc_id", F.size("r.spans").alias("outer_spans"), "r.crossing", F.when(first.isNotNull(), F.expr("substring(t, r.spans[0].start + 1, r.spans[0].end - r.spans[0].start)")).alias("first"))
+
+
 query("str_13")(_bracket_query((*U.BRACKETS, *U.SECOND_ROUND_BRACKETS)))
 
 CATEGORY = """case when regexp_matches(title, '^[0-9]+$') then 'number' when regexp_matches(title, '^@') then 'handle' when contains(title, 'idiot') or contains(title, 'clown') then 'flagged' when length(title) = 4 then 'tag' when length(title) < 30 then 'short' else 'text' end"""
