@@ -11,8 +11,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 BAND = "case when n_chars < 500 then 'short' when n_chars < 3000 then 'medium' else 'long' end"
-#: The same relations for DuckDB. A title is the first line of a document.
-RECORDS = f"records as (select doc_id, text, split_part(text, chr(10), 1) as title, lang, source, n_chars, {BAND} as band, doc_id % 2 + 1 as round from documents)"
+#: The same relations for DuckDB. The rules for titles run over the whole text of a document.
+RECORDS = f"records as (select doc_id, text, text as title, lang, source, n_chars, {BAND} as band, doc_id % 2 + 1 as round from documents)"
 UNITS = f"units as (select doc_id, lang, source, n_chars, {BAND} as band, doc_id % 2 + 1 as round, quality, toxic from documents join labels using (doc_id))"
 EVENTS = "log as (select user_id, event_id, event_type, ts, value, cast(json_extract(props, '$.k') as bigint) as k from events)"
 
@@ -38,7 +38,7 @@ def band() -> Column:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("title"), "lang", "source", "n_chars", band(), (F.col("doc_id") % 2 + 1).alias("round"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", F.col("text").alias("title"), "lang", "source", "n_chars", band(), (F.col("doc_id") % 2 + 1).alias("round"))
 
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:

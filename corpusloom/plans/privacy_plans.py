@@ -192,7 +192,7 @@ ALIASES = {"acting": "actor", "targeted": "target", "fwd": "front"}
 
 def annotations(spark, sf):
     """A JSON record for each labelled document: valid ones, and one kind of fault for each remainder of the id."""
-    u = units(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 40).alias("title")), "doc_id")
+    u = units(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.col("text").alias("title")), "doc_id")
     i = F.col("doc_id") % 8
     visible = F.col("quality") == 1
     own = lambda field, code: F.struct(F.lit(field).alias("field"), code.alias("code"))
