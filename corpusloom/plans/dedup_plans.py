@@ -26,19 +26,24 @@ def ups_2(spark, sf):
     return UP.queue(events(spark, sf).withColumn("k", F.nullif("k", F.lit(0))), ["user_id", "event_type"], "event_id", ["k"])
 
 
-ANN = "with {events} select user_id, max_by(event_type, event_id) as event_type, max(event_id) as revision, min(event_id) as started_at, sum(k) as duration, count(*) as events from log {where} group by user_id"
+#: Logs of decisions over whole tables: key, revision, decision and duration of each event.
+LOGS = {
+    "ups_3": ("events", "user_id", "event_id", "event_type", "cast(get_json_object(props, '$.k') as bigint)", "cast(json_extract(props, '$.k') as bigint)"),
+    "ups_4": ("conversations", "conv_id", "turn", "role", "cast(char_length(text) as bigint)", "length(text)"),
+    "ups_5": ("documents", "source", "doc_id", "lang", "cast(n_chars as bigint)", "n_chars"),
+}
 
 
-def _ann(where=None):
+def _log(name, key, revision, decision, duration):
     def run(spark, sf):
-        e = events(spark, sf).withColumn("revision", F.col("event_id")).withColumn("at", F.col("event_id"))
-        return UP.annotations(e.where(where) if where else e, "user_id", "revision", "event_type", "at", "k")
+        e = table(spark, sf, name).select(F.col(key).alias("key"), F.col(revision).alias("revision"), F.col(decision).alias("decision"), F.expr(duration).alias("duration"), F.col(revision).alias("at"))
+        return UP.annotations(e, "key", "revision", "decision", "at", "duration")
 
     return run
 
 
-for _key, _where in (("ups_3", None), ("ups_4", "k % 2 = 0"), ("ups_5", "k % 2 = 1")):
-    query(_key, ANN.replace("{where}", f"where {_where}" if _where else ""))(_ann(_where))
+for _key, (_t, _k, _rev, _dec, _dur, _sql) in LOGS.items():
+    query(_key, f"select {_k} as key, max_by({_dec}, {_rev}) as decision, max({_rev}) as revision, min({_rev}) as started_at, cast(sum({_sql}) as bigint) as duration, count(*) as events from {_t} group by {_k}")(_log(_t, _k, _rev, _dec, _dur))
 
 CORR = """with {units}, e as (select doc_id, turn, case when turn % 3 = 2 then 'reset' else 'save' end as action, cast(length(text) % 2 as bigint) as v from conversations join units on doc_id = conv_id),
  last as (select doc_id, max_by(action, turn) as action, max_by(v, turn) as v, max(turn) as revision from e group by doc_id)
