@@ -1,28 +1,35 @@
-"""Main text of web pages: regions of the markup, and nearest-URL page differencing for what the markup leaves open.
+"""Main text of web pages: nearest-URL page differencing, and the regions of the markup as the check on what it deletes.
 
-A page becomes text lines, one for each block element, in page order. Lines inside menus, footers, sidebars, forms,
-notices, adverts, comments, scripts, styles and hidden elements go by the element or by the words of its class, id and role.
-Where the page marks an article (else a main element), its other lines are the result.
+A page becomes text lines, one for each block element, in page order. The different urls are sorted by host, path and url, and
+every page is held against the one of the urls beside its own on that host whose path shares the longest beginning (the one
+before, where both share the same). Lines are aligned by longest common subsequences, those of ruled-out regions (menus,
+footers, sidebars, forms, notices, adverts, comments, hidden elements: by the element or by the words of its class, id and role)
+among themselves. Lines shared with the nearest page are deleted, and the markup checks the rest:
 
-Pages that mark neither are settled by differencing: the different urls are sorted by host, path and url, and each such page
-is held against the one of the urls beside its own on that host whose path shares the longest beginning (the one before, where
-both share the same). Lines are aligned by a longest common subsequence, and shared lines are deleted. A page whose url is
-the only one of its host keeps its lines. Urls are sorted in ranges, and the urls at the ends of ranges are carried over, so
-the result does not depend on the partitions. Differencing does not touch a marked article: pages of a host share whole
-paragraphs of articles, which the differencing alone would delete (see README).
+* lines of ruled-out regions go, also where they differ from the nearest page's (menus and adverts rotate within a host);
+* where the page marks an article (else a main element), lines outside it go, and its shared lines come back: pages of a host
+  share whole paragraphs of articles (see README). A list of two or more items that is nothing but links and wholly shared does
+  not come back: a menu inside the article. It does where the nearest page holds half of the article's other characters or
+  more, as a copy or an edition of it shares its lists of links too.
+
+A page whose url is the only one of its host has nothing to be held against: its unmarked lines stay. Urls are sorted in ranges,
+and the urls at the ends of ranges are carried over, so the result does not depend on the partitions.
 
 Nulls and empty pages give an empty text; a null url counts as an empty host and path. Repeated rows are kept; copies (rows of
 the same url) have the same neighbours, and as a neighbour the copy of the least page_id stands for them. An empty table
 gives an empty result. Other columns than page_id, url and html are neither read nor returned. A hot host is spread over
-many partitions by the range of its paths.
+many partitions by the range of its paths. Between pages lines are compared by fingerprints of 61 bits. Very long pages are
+aligned in memory that grows with their lines, in time that grows with the product of the numbers of lines both hold, over 64.
+Of several longest common subsequences (a line repeated in a page) one is taken, always the same.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -47,6 +54,8 @@ OUT_WORDS = frozenset(
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 STOPS = frozenset("ul ol dl table div section article main body".split())
+#: Lowest bits of a line's fingerprint: in a ruled-out region, in the text of `lines`, list item of links only.
+OUT, HELD, LINK = 1, 2, 4
 
 
 def _out(tag: str, attributes: str, in_article: bool) -> bool:
@@ -64,24 +73,34 @@ def _out(tag: str, attributes: str, in_article: bool) -> bool:
     return found.get("role", "").lower() in OUT_ROLES or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
 
 
-def lines(page: str) -> tuple[list[str], bool]:
-    """(text lines of the article or main element where one is marked, else all that no region rules out; whether it is marked)."""
-    blocks: list[tuple[str, int]] = []  # text and mark: 2 article, 1 main, 0 neither
-    stack: list[tuple[str, bool, int]] = []
+def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
+    """All lines of a page: text, mark (2 article, 1 main, 0 neither), in a ruled-out region, list item of links only."""
+    found: list[tuple[str, int, bool, bool]] = []
+    stack: list[tuple[str, bool, int, int]] = []
     text: list[str] = []
+    beside: list[str] = []  # text of ruled-out regions
     at, out, mark, raw = 0, False, 0, ""
+    link, plain = 0, False  # link: 1 inside a, 2 inside li, 3 both; plain: the line has text outside links of list items
+
+    def add(piece: str) -> None:
+        nonlocal plain
+        (beside if out else text).append(piece)
+        plain = plain or not out and link != 3 and not piece.isspace()
 
     def flush() -> None:
-        if text:
-            line = WHITE.sub(" ", entities.unescape("".join(text))).strip()
-            if line:
-                blocks.append((line, mark))
-            text.clear()
+        nonlocal plain
+        for own, pieces in ((True, text), (False, beside)):
+            if pieces:
+                line = WHITE.sub(" ", entities.unescape("".join(pieces))).strip()
+                if line:
+                    found.append((line, mark if own else 0, not own, own and not plain))
+                pieces.clear()
+        plain = False
 
     def pop(k: int) -> None:
-        nonlocal out, mark
+        nonlocal out, mark, link
         del stack[k:]
-        out, mark = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        out, mark, link = stack[-1][1:] if stack else (False, 0, 0)
 
     for m in TOKEN.finditer(page):
         tag = (m[2] or "").lower()
@@ -91,15 +110,17 @@ def lines(page: str) -> tuple[list[str], bool]:
             raw, at = "", m.end()
             pop(len(stack) - 1)
             continue
-        if not out and m.start() > at:
-            text.append(page[at : m.start()])
+        if m.start() > at:
+            add(page[at : m.start()])
         at = m.end()
         if not tag:
             continue
         if tag not in INLINE:
             flush()
-        elif tag == "br" and text:
-            text.append(" ")
+        elif tag == "br":
+            for pieces in (text, beside):
+                if pieces:
+                    pieces.append(" ")
         if m[1]:
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if k is not None:
@@ -115,82 +136,150 @@ def lines(page: str) -> tuple[list[str], bool]:
         inner = max(mark, {"article": 2, "main": 1}.get(tag, 0) if not out else 0)
         out = out or _out(tag, m[3], inner > 0)
         mark = inner
-        stack.append((tag, out, mark))
+        link |= {"a": 1, "li": 2}.get(tag, 0)
+        stack.append((tag, out, mark, link))
         if tag in RAW:
             raw = tag
-    if not raw and not out and at < len(page):
-        text.append(page[at:])
+    if not raw and at < len(page):
+        add(page[at:])
     flush()
-    best = max((b[1] for b in blocks), default=0)
-    return [b[0] for b in blocks if b[1] >= best], best > 0
+    return found
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of one longest common subsequence of a and b (Hunt and Szymanski's candidates)."""
-    where: dict[str, list[int]] = {}
+def _best(found: list[tuple[str, int, bool, bool]]) -> int:
+    return max((mark for _, mark, out, _ in found if not out), default=0)
+
+
+def lines(page: str) -> tuple[list[str], bool]:
+    """(text lines of the article or main element where one is marked, else all that no region rules out; whether it is marked)."""
+    found = blocks(page)
+    best = _best(found)
+    return [line for line, mark, out, _ in found if not out and mark >= best], best > 0
+
+
+def fingerprints(page: str) -> tuple[str, list[int], bool]:
+    """(text of `lines`, fingerprints of all lines of the page with the bits OUT, HELD and LINK, whether it is marked)."""
+    found = blocks(page)
+    best, text, prints = _best(found), [], []
+    for line, mark, out, linked in found:
+        held = not out and mark >= best
+        if held:
+            text.append(line)
+        bits = int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        prints.append(bits & ~7 | OUT * out | HELD * held | LINK * linked)
+    return "\n".join(text), prints, best > 0
+
+
+def _lengths(a: Sequence, b: Sequence) -> list[int]:
+    """Lengths of the longest common subsequences of a and each beginning of b; a row of the table is one integer."""
+    where: dict[object, list[int]] = {}
     for j, x in enumerate(b):
         where.setdefault(x, []).append(j)
-    ends: list[int] = []
-    tops: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(where.get(x, ())):
-            k = bisect_left(ends, j)
-            node = (i, tops[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                tops.append(node)
-            else:
-                ends[k], tops[k] = j, node
-    out, node = set(), tops[-1] if tops else None
-    while node:
-        out.add(node[0])
-        node = node[1]
+
+    def places(x: object) -> int:
+        room = bytearray(len(b) // 8 + 1)
+        for j in where[x]:
+            room[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(room, "little")
+
+    hot = {x: places(x) for x, at in where.items() if 64 * len(at) > len(b)}  # 64 at most
+    row = full = (1 << len(b)) - 1
+    for x in a:
+        if x in where:
+            hit = row & (hot[x] if x in hot else places(x))
+            row = (row + hit | row - hit) & full
+    out = [0]
+    for bit in reversed(f"{row:0{len(b)}b}"):
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def common_lines(a: Sequence, b: Sequence) -> set[int]:
+    """Positions in a of one longest common subsequence of a and b (Hirschberg's halves)."""
+    in_a, in_b = set(a), set(b)
+    at = [i for i, x in enumerate(a) if x in in_b]
+    a, b = [a[i] for i in at], [x for x in b if x in in_a]
+    out: set[int] = set()
+    left = [(0, len(a), 0, len(b))]
+    while left:
+        i, end, j, last = left.pop()
+        while i < end and j < last and a[i] == b[j]:
+            out.add(at[i])
+            i, j = i + 1, j + 1
+        while i < end and j < last and a[end - 1] == b[last - 1]:
+            end, last = end - 1, last - 1
+            out.add(at[end])
+        if i == end or j == last:
+            continue
+        if end - i == 1:
+            if a[i] in b[j:last]:
+                out.add(at[i])
+            continue
+        half = (i + end) // 2
+        fore, back = _lengths(a[i:half], b[j:last]), _lengths(a[half:end][::-1], b[j:last][::-1])
+        cut = max(range(last - j + 1), key=lambda k: fore[k] + back[last - j - k])
+        left += [(i, half, j, j + cut), (half, end, j + cut, last)]
     return out
 
 
+def settled(text: str, own: list[int], other: list[int], marked: bool) -> tuple[str, int]:
+    """(text of a page after its differencing and the check, number of its lines shared): own and other of `fingerprints`."""
+    shared: set[int] = set()
+    for side in (0, OUT):
+        at = [i for i, x in enumerate(own) if x & OUT == side]
+        shared |= {at[k] for k in common_lines([own[i] >> 3 for i in at], [x >> 3 for x in other if x & OUT == side])}
+    held = dict(zip((i for i, x in enumerate(own) if x & HELD), text.split("\n")))
+    gone = shared
+    if marked:
+        size = lambda some: sum(len(held[i]) for i in some)
+        prose = [i for i in held if not own[i] & LINK]
+        runs = [list(run) for link, run in groupby(held, lambda i: own[i] & LINK) if link]
+        gone = {i for run in runs if len(run) > 1 and shared.issuperset(run) for i in run} if 2 * size(shared.intersection(prose)) < size(prose) else set()
+    return "\n".join(line for i, line in held.items() if i not in gone), len(shared)
+
+
 def _shared(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Stored rows of page_id, url, host, path, key (of the url), text (of `lines`), and whether differencing has to settle it."""
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1), F.lit("")))
-    path = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
+    """page_id, url, key (of the url), and text, lines and marked of `fingerprints`. Not stored: texts are parsed again instead."""
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                found = [lines(page) for page in part.column(5).to_pylist()]
-                texts, open_ = pa.array(["\n".join(own) for own, _ in found], pa.string()), pa.array([bool(own) and not marked for own, marked in found])
-                yield pa.RecordBatch.from_arrays([*part.columns[:5], texts, open_], names=["page_id", "url", "host", "path", "key", "text", "open"])
+                texts, prints, marked = zip(*map(fingerprints, part.column(3).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(texts, pa.string()), pa.array(prints, pa.list_(pa.int64())), pa.array(marked, pa.bool_())], names=["page_id", "url", "key", "text", "lines", "marked"])
 
     key = F.coalesce(F.concat(F.lit("="), F.col("url")), F.lit(""))  # a null url is not an empty one
-    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"), key.alias("key"), F.coalesce("html", F.lit("")).alias("html"))
-    return stored(rows.mapInArrow(lean(run), f"page_id {kind}, url string, host string, path string, key string, text string, open boolean"), "html-parsed")
+    rows = pages.select("page_id", "url", key.alias("key"), F.coalesce("html", F.lit("")).alias("html"))
+    return rows.mapInArrow(lean(run), f"page_id {kind}, url string, key string, text string, lines array<bigint>, marked boolean")
 
 
-def nearest(pages: DataFrame) -> DataFrame:
-    """(key, near) of each url that has a page to settle and another url on its host: near is the key of the nearest one."""
-    spark = pages.sparkSession
-    urls = pages.groupBy("host", "path", "key").agg(F.max("open").alias("open"))
-    names = ("host", "path", "key", "open")
+def nearest(keys: DataFrame) -> DataFrame:
+    """(key, near) of each url that has another one on its host: near is the key of the nearest one."""
+    spark = keys.sparkSession
+    host = F.lower(F.regexp_extract("key", r"^=[a-zA-Z][\w+.-]*://([^/?#]*)", 1))
+    path = F.regexp_extract("key", r"^=[a-zA-Z][\w+.-]*://[^/?#]*([^?#]*)", 1)
+    names = ("host", "path", "key")
+    urls = keys.select("key").distinct().select(host.alias("host"), path.alias("path"), "key")
 
     def chosen(row: tuple, before: tuple | None, after: tuple | None) -> str | None:
         beside = [n for n in (before, after) if n and n[0] == row[0]]
-        return max(beside, key=lambda n: _shared(n[1], row[1]))[2] if row[3] and beside else None
+        return max(beside, key=lambda n: _shared(n[1], row[1]))[2] if beside else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(out: list[tuple]) -> pa.RecordBatch:
             # the ends of a range come with themselves and the url beside them (side -1: first, 1: last, 2: both), others with near
             return pa.RecordBatch.from_pylist([dict(zip(fields, r, strict=True)) for r in out], schema=shape)
 
-        shape = pa.schema([("key", pa.string()), ("near", pa.string()), ("side", pa.int32()), ("part", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("open", pa.bool_()), ("inner_path", pa.string()), ("inner_host", pa.string())])
+        shape = pa.schema([("key", pa.string()), ("near", pa.string()), ("side", pa.int32()), ("part", pa.int32()), ("host", pa.string()), ("path", pa.string()), ("inner_path", pa.string()), ("inner_host", pa.string())])
         fields, part = shape.names, TaskContext.get().partitionId()
 
         def end(row: tuple, inner: tuple | None, side: int) -> tuple:
-            return row[2], inner and inner[2], side, part, row[0], row[1], row[3], inner and inner[1], inner and inner[0]
+            return row[2], inner and inner[2], side, part, row[0], row[1], inner and inner[1], inner and inner[0]
 
         before: tuple | None = None
         row: tuple | None = None
@@ -200,8 +289,8 @@ def nearest(pages: DataFrame) -> DataFrame:
                 if row is not None:
                     if before is None:
                         done.append(end(row, following, -1))
-                    elif near := chosen(row, before, following):
-                        done.append((row[2], near, 0, part, None, None, None, None, None))
+                    elif (near := chosen(row, before, following)) is not None:
+                        done.append((row[2], near, 0, part, None, None, None, None))
                 before, row = row, following
                 if len(done) >= 1024:
                     yield made(done)
@@ -211,42 +300,40 @@ def nearest(pages: DataFrame) -> DataFrame:
         if done:
             yield made(done)
 
-    ranged = urls.repartitionByRange(partitions(spark), "host", "path", "key").sortWithinPartitions("host", "path", "key").select(*names)
-    found = stored(ranged.mapInArrow(run, "key string, near string, side int, part int, host string, path string, open boolean, inner_path string, inner_host string"), "html-nearest")
+    ranged = urls.repartitionByRange(partitions(spark), *names).sortWithinPartitions(*names).select(*names)
+    found = stored(ranged.mapInArrow(run, "key string, near string, side int, part int, host string, path string, inner_path string, inner_host string"), "html-nearest")
     # two rows of a range at most
     ends = sorted(found.where("side != 0").collect(), key=lambda r: (r["part"], r["side"]))
-    settled = []
+    joined = []
     for at, r in enumerate(ends):
-        row, inner = (r["host"], r["path"], r["key"], r["open"]), r["near"] is not None and (r["inner_host"], r["inner_path"], r["near"]) or None
+        row, inner = (r["host"], r["path"], r["key"]), (r["inner_host"], r["inner_path"], r["near"]) if r["near"] is not None else None
         other = lambda k: (ends[k]["host"], ends[k]["path"], ends[k]["key"]) if 0 <= k < len(ends) else None
         before, after = other(at - 1) if r["side"] != 1 else inner, other(at + 1) if r["side"] != -1 else inner
-        if near := chosen(row, before, after):
-            settled.append((r["key"], near))
-    return found.where("side = 0").select("key", "near").unionByName(spark.createDataFrame(settled, "key string, near string"))
+        if (near := chosen(row, before, after)) is not None:
+            joined.append((r["key"], near))
+    return found.where("side = 0").select("key", "near").unionByName(spark.createDataFrame(joined, "key string, near string"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every page."""
+    """page_id, url, text, n_chars of every page, and of its differencing near_url, n_lines of the whole page and n_shared of them
+    (null where the host has no other url; near_url also where the nearest url is null)."""
     kind = pages.schema["page_id"].dataType.simpleString()
     rows = parsed(pages)
+    prints = stored(rows.select("page_id", "key", "lines"), "html-lines")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for text, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if other:
-                    own = text.split("\n")
-                    gone = common_lines(own, other.split("\n"))
-                    text = "\n".join(x for i, x in enumerate(own) if i not in gone)
+            texts, counts = [], []
+            for text, own, marked, other in zip(*(c.to_pylist() for c in batch.columns[3:]), strict=True):
+                text, shared = (text, None) if other is None else settled(text, own, other, marked)
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
-
-    out = rows.where("not open").select("page_id", "url", "text")
-    left = rows.where("open")
-    if not left.isEmpty():
-        pairs = stored(nearest(rows), "html-pairs")
-        wanted = rows.join(pairs.select(F.col("near").alias("key")).distinct(), "key")
-        others = wanted.groupBy(F.col("key").alias("near")).agg(F.min(F.struct("page_id", "text"))["text"].alias("other"))
-        held = left.join(pairs.join(others, "near"), "key", "left").select("page_id", "url", "text", "other")
-        out = out.unionByName(held.mapInArrow(lean(run), f"page_id {kind}, url string, text string"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+                counts.append((len(own), shared))
+            n_lines, n_shared = zip(*counts) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_shared, pa.int64())], names=["page_id", "url", "near", "text", "n_lines", "n_shared"])
+
+    first = prints.groupBy(F.col("key").alias("near")).agg(F.min(F.struct("page_id", "lines"))["lines"].alias("other"))
+    held = nearest(prints).join(first.hint("merge"), "near")
+    both = rows.join(held.hint("merge"), "key", "left").select("page_id", "url", "near", "text", "lines", "marked", "other")
+    out = both.mapInArrow(lean(run), f"page_id {kind}, url string, near string, text string, n_lines bigint, n_shared bigint")
+    near = F.when(F.col("near") != "", F.expr("substring(near, 2)"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), near.alias("near_url"), "n_lines", "n_shared")

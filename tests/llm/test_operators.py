@@ -437,6 +437,33 @@ def test_html_differencing_of_copies_and_ranges(spark):
         spark.conf.set("spark.sql.shuffle.partitions", shuffles)
 
 
+def test_html_differencing_of_marked_pages(spark):
+    page = lambda own, nav, beside="": f"<body><nav><a>Home</a><p><a>{nav}</a></nav><article><h1><a>Weekly</a></h1>{own}<p>Shared words of both</p><ul><li><a>Share</a><li><a>Print</a></ul><p><a>The author</a></p><ol><li><a>Cited</a><li><a>{nav}</a></ol></article><p>{beside}</p></body>"
+    data = [(1, "https://h.example/a/1", page("<p>A first text of its own, longer than what is shared", "One", "unmarked")), (2, "https://h.example/a/2", page("<p>Another text, again longer than what is shared", "Two"))]
+    data += [(3, "https://copy.example/1", page("<p>A text", "One")), (4, "https://copy.example/2", page("<p>A text", "Two")), (5, "https://alone.example/1", page("<p>A text", "One"))]
+    data += [(6, "https://mixed.example/1", page("<p>A text", "One", "Imprint")), (7, "https://mixed.example/2", "<body><p>own</p><p>Imprint</p></body>")]
+    data += [(8, "x", "<p>a</p><p>Same</p>"), (9, None, "<p>b</p><p>Same</p>")]
+    article = lambda own, nav, menu="": f"Weekly\n{own}\nShared words of both\n{menu}The author\nCited\n{nav}"
+    expected = {1: article("A first text of its own, longer than what is shared", "One"), 2: article("Another text, again longer than what is shared", "Two")} | {k: article("A text", "Two" if k == 4 else "One", "Share\nPrint\n") for k in (3, 4, 5, 6)} | {7: "own", 8: "a", 9: "b"}
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (1, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = rows(html_extraction.extract(spark.createDataFrame(data, "page_id long, url string, html string").repartition(n)), "page_id")
+            assert {k: r.text for k, r in got.items()} == expected
+            assert {k: (r.near_url, r.n_lines, r.n_shared) for k, r in got.items() if k in (1, 3, 5, 7, 8, 9)} == {1: ("https://h.example/a/2", 11, 7), 3: ("https://copy.example/2", 10, 8), 5: (None, 10, None), 7: ("https://mixed.example/1", 2, 1), 8: (None, 2, 1), 9: ("x", 2, 1)}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+
+
+def test_html_differencing_of_many_equal_lines():
+    a, b = ["x", "y"] * 8000, ["y", "x", "x"] * 6000
+    assert len(html_extraction.common_lines(a, b)) >= 12000
+    some, turned = list(range(6000)), [*range(3000, 6000), *range(3000)]
+    assert len(html_extraction.common_lines(some, turned)) == 3000
+    assert html_extraction.common_lines(a, ["z"] * 8000) == set() and len(html_extraction.common_lines(a, a)) == 16000
+
+
 def test_common_lines():
     r = random.Random(4)
     for _ in range(200):
